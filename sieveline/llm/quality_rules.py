@@ -28,6 +28,9 @@ STOP_WORDS = (
     "al con del el es la las los no para por que se su un una y"
 ).split()
 
+#: As words stand in texts: small, with a capital, in capitals.
+STOP_FORMS = sorted({f for w in STOP_WORDS for f in (w, w.capitalize(), w.upper())})
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -58,7 +61,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_w", words(F.col(text)))
     df = df.withColumn("_n", F.size("_w"))
-    lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     df = df.withColumn("_lines", lines)
     df = df.withColumn(
         "_h",
@@ -80,16 +83,15 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")),
         lambda a: a["n"],
     )
-    small = F.transform("_w", lambda w: F.lower(w))
     return df.withColumns(
         {
             "n_words": F.col("_n").cast("long"),
-            "word_chars": F.length(F.translate(body, BLANKS, "")).cast("long"),
-            "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
-            "n_exclamations": (F.length(body) - F.length(F.translate(body, "!", ""))).cast("long"),
+            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+            "n_symbols": F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long"),
+            "n_exclamations": F.regexp_count(body, F.lit("!")).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_stop_words": F.size(F.filter(small, lambda w: w.isin(STOP_WORDS))).cast("long"),
+            "n_stop_words": F.size(F.filter("_w", lambda w: w.isin(STOP_FORMS))).cast("long"),
             "n_repeat_words": covered.cast("long"),
         }
     ).drop("_w", "_n", "_lines", "_h", "_s", "_again", "_at")
@@ -131,7 +133,7 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    stops = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    stops = ", ".join(f"'{w}'" for w in STOP_FORMS)
     rules = " AND ".join(
         c
         for r in RULES
@@ -148,7 +150,7 @@ m AS (
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words,
     CAST(length(regexp_replace(t, '[^!]', '', 'g')) AS BIGINT) AS n_exclamations, CAST(len(ls) AS BIGINT) AS n_lines,
-    CAST(len(list_filter(ws, lambda x: lower(x) IN ({stops}))) AS BIGINT) AS n_stop_words
+    CAST(len(list_filter(ws, lambda x: x IN ({stops}))) AS BIGINT) AS n_stop_words
   FROM w LEFT JOIN p ON p.doc_id = w.doc_id)
 SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {rules}) AS kept

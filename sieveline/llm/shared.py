@@ -38,8 +38,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """All words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; none for null."""
-    plain = F.translate(F.coalesce(text, F.lit("")), BLANKS[:-1], " " * (len(BLANKS) - 1))
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, "[\\x20\\x09-\\x0D]+"))
 
 
 def lower_ascii(text: Column) -> Column:
