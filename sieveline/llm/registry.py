@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from sieveline.llm import quality_rules
+from sieveline.llm import chat_format, media, quality_rules, simhash, url_filter
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op5_media_columns": media.op5_media_columns,
+    "op6_simhash": simhash.op6_simhash,
+    "op9_url_filter": url_filter.op9_url_filter,
 }
 
+#: Where SQL can't express a query it is tested against a brute-force version in tests/llm.
 SQL = {
+    "op1_chat_format": chat_format.SQL,
     "op3_quality_rules": quality_rules.sql(),
+    "op9_url_filter": url_filter.sql(),
 }
