@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from sieveline.llm import chat_format, media, quality_rules, simhash, url_filter
+from sieveline.llm import bpe, chat_format, lm_scoring, media, packing, quality_rules, simhash, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_packing": packing.op4_packing,
     "op5_media_columns": media.op5_media_columns,
     "op6_simhash": simhash.op6_simhash,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 
