@@ -75,17 +75,17 @@ def statistics(text: str | None) -> np.ndarray:
     )
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): x array<float> in the order of NAMES."""
+def document_statistics(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, x) and the integer columns `more`: x array<float> in the order of NAMES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [statistics(t).astype(np.float32) for t in b["text"].to_pylist()]
             flat = np.concatenate(rows) if rows else np.zeros(0, np.float32)
             at = np.arange(0, len(flat) + 1, len(NAMES), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), *(b[c] for c in more)], names=["doc_id", "x", *more])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, x array<float>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text", *more).mapInArrow(run, "doc_id long, x array<float>" + "".join(f", {c} int" for c in more))
 
 
 @dataclass
@@ -199,5 +199,19 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", MODULUS) == KEPT_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs, all columns as they are, without the rows predicted to be of low quality."""
+    teach = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(label_rows(labels, "quality", MODULUS, KEPT_OUT), "doc_id")
+    model = fit(cut(document_statistics(teach, "y").select("x", "y"), "quality-rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.array([statistics(t).astype(np.float32) for t in b["text"].to_pylist()], np.float64)
+                yield b.filter(pa.array(model.score(x) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_quality_model(spark, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))

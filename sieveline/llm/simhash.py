@@ -244,6 +244,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = SHARD_POI
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs, all columns as they are, with the row of least doc id of each component, once. Rows without an id can't be named and all stay."""
+    chosen = near_duplicates(docs.filter("doc_id is not null").select("doc_id", "text"), radius).select(F.col("component_id").alias("doc_id")).distinct()
+    named = docs.filter("doc_id is not null")
+    return named.join(cut(chosen, "simhash-chosen"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.filter("doc_id is null"))
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -189,27 +189,45 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chosen: int =
 # ---- scoring
 
 
+class Scorer:
+    """Scores texts in a task; holds the features of words it has met."""
+
+    def __init__(self, model: Model):
+        self.model, self.weights = model, model.weights.tolist()
+        self.hits = Hits({f: i for i, f in enumerate(model.names)})
+
+    def __call__(self, text: str | None) -> float:
+        if self.model.constant is not None:
+            return self.model.constant
+        found = words(text)
+        z = self.model.bias + self.model.length * math.log1p(len(found))
+        z += sum(self.weights[i] * math.log1p(c) for i, c in sorted(counts_of(found, self.hits).items()))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = Hits({f: i for i, f in enumerate(model.names)})
-        weights = model.weights.tolist()
+        of = Scorer(model)
         for b in batches:
-            out = []
-            for t in b["text"].to_pylist():
-                if model.constant is not None:
-                    out.append(model.constant)
-                    continue
-                found = words(t)
-                z = model.bias + model.length * math.log1p(len(found))
-                z += sum(weights[i] * math.log1p(c) for i, c in sorted(counts_of(found, hits).items()))
-                out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(map(of, b["text"].to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs, all columns as they are, without the rows predicted toxic."""
+    model = fit(docs.selectExpr("cast(doc_id as long) doc_id", "text"), label_rows(labels, "toxic", MODULUS, KEPT_OUT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Scorer(model)
+        for b in batches:
+            yield b.filter(pa.array([of(t) < THRESHOLD for t in b["text"].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each row of docs."""
     mine = docs.selectExpr("cast(doc_id as long) doc_id", "text")
