@@ -14,7 +14,9 @@ packed whole; ties are broken by input order; an empty table gives no rows; furt
 
 from __future__ import annotations
 
+import functools
 import heapq
+import json
 import os
 import re
 import zlib
@@ -37,43 +39,85 @@ END = 0
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_alphabet() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others, in order, as the characters from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
+
+
+def rank_encoder(path: str):
+    """An encoder by ranks for a tokenizer file whose ids are the order of its merges and whose split is the byte-level one; else None."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or model.get("type") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    vocab, alphabet = model["vocab"], byte_alphabet()
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
+    if any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)) or len(vocab) - len(special & vocab.keys()) != 256 + len(merges):
+        return None
+    ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if t not in special}
+    return tiktoken.Encoding("by-ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Ids:
     """Token ids of whole texts by a tokenizer file, as little-endian uint32 bytes.
 
     The split pattern of byte-level BPE never joins a non-space with a space after it, nor takes more than one space into a word, so a text may be
-    cut before a space that has a non-space beside it. The parts between such spaces recur and are kept, up to `keep` of them.
+    cut before a space that has a non-space beside it. The parts between such spaces recur and are kept, up to `keep` of them. New parts are
+    encoded by ranks where the file allows it, which gives the ids of the `tokenizers` library several times as fast, else by that library.
     """
 
     KEEP_LENGTH = 48
 
-    def __init__(self, path: str, keep: int = 400_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, keep: int = 700_000, library: bool = False):
+        self.by_ranks = None if library else rank_encoder(path)
+        if self.by_ranks is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.keep, self.known = keep, {}
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.encode_special_tokens = True
+        self.spaced = Parts(self, " ", keep)
+        self.bare = Parts(self, "", keep // 8)
         self.doubled = re.compile(r"\s \s|^ \s|\s $")
         self.cuts = re.compile(r"(?<=\S)(?= )|(?=\x20\S)")
 
-    def parts(self, text: str) -> list[str]:
-        """Parts whose tokens together are those of the text. The marker is what a part begins with: its own space."""
+    def one(self, part: str) -> bytes:
+        ids = self.by_ranks(part) if self.by_ranks else self.tokenizer.encode(part, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
         if self.doubled.search(text):
-            return [p for p in self.cuts.split(text) if p]
+            return b"".join(self.spaced[p[1:]] if p[0] == " " else self.bare[p] for p in self.cuts.split(text) if p)
         first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + p for p in rest]
+        return (self.bare[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
-        split = [self.parts(t) for t in texts]
-        new = list({p for parts in split for p in parts if p not in known})
-        fresh = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        known.update((p, i) for p, i in fresh.items() if len(p) <= self.KEEP_LENGTH)
-        look = lambda p: known[p] if p in known else fresh[p]
-        long = len(fresh) and any(len(p) > self.KEEP_LENGTH for p in new)
-        return [b"".join(map(look if long else known.__getitem__, parts)) for parts in split]
+
+class Parts(dict):
+    """Ids of parts behind a fixed lead; the short ones are kept, all are dropped when there are too many."""
+
+    def __init__(self, ids: Ids, lead: str, keep: int):
+        self.ids, self.lead, self.keep = ids, lead, keep
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.ids.one(self.lead + part)
+        if len(part) <= Ids.KEEP_LENGTH:
+            if len(self) >= self.keep:
+                self.clear()
+            self[part] = found
+        return found
+
+
+@functools.cache
+def ids_of(path: str) -> Ids:
+    """One for each Python worker, so tasks after the first find the common parts known."""
+    return Ids(path)
 
 
 def differencing(sizes: list[int], k: int) -> tuple[np.ndarray, list[list[int]]]:
@@ -175,19 +219,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, grain: int
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(tokenizer_path)
+        ids = ids_of(tokenizer_path)
         packer, rows = Packer(TaskContext.get().partitionId() << 40, window, grain, group), []
         for b in batches:
-            doc_ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
-            at = 0
-            while at < len(texts):  # about a megabyte at a time
-                to, held = at, 0
-                while to < len(texts) and (to == at or held < 1 << 20):
-                    held += len(texts[to] or "")
-                    to += 1
-                for d, x in zip(doc_ids[at:to], ids.encode([t or "" for t in texts[at:to]]), strict=True):
-                    rows.extend(packer.add(d, x + end))
-                at = to
+            for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                rows.extend(packer.add(d, ids.encode(t or "") + end))
                 if len(rows) > 20_000:
                     yield out(rows)
                     rows = []
