@@ -82,9 +82,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust). seeds: host, good, bad (evidence); trust follows edges, distrust runs against them."""
-    total = seeds.agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
-    share = lambda x, n: F.when(F.col(n) > 0, F.col(x) / F.col(n)).otherwise(F.lit(0.0))
-    start = cut(seeds.crossJoin(F.broadcast(total)).select("host", share("good", "all_good").alias("s"), share("bad", "all_bad").alias("r")), "url-seeds")
+    seeds = cut(seeds, "url-evidence")
+    good, bad = seeds.agg(F.sum("good"), F.sum("bad")).first()
+    start = seeds.select("host", (F.col("good") / (good or 1.0)).alias("s"), (F.col("bad") / (bad or 1.0)).alias("r"))
     out = edges.groupBy("src").agg(F.sum("w").alias("out_w"))
     back = edges.groupBy("dst").agg(F.sum("w").alias("in_w"))
     moves = edges.join(out, "src").join(back, "dst").select("src", "dst", (F.col("w") / F.col("out_w")).alias("a"), (F.col("w") / F.col("in_w")).alias("b"))
