@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.shared import table
 
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 32_000_000
 LONG = 64
 BUCKETS = 32_768
 NO_RANK = 2_147_483_647
@@ -68,24 +68,20 @@ def _let(value: Column, body) -> Column:
 
 def fold(word: Column, literal: Column) -> Column:
     """array<int>: ids of one word of at least one byte."""
-    pieces = F.split(word, "")
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.length(word) - 1), F.slice(pieces, F.lit(2), F.length(word)), lambda a, b: _rank(literal, F.concat(a, b)))
-    none = F.array().cast("array<int>")
-    start = F.struct(pieces.alias("p"), F.when(F.length(word) > 1, pairs).otherwise(none).alias("r"))
-
-    def merge(p: Column, r: Column, at: Column, merged: Column) -> Column:
-        """at: 1-based; pieces at and at + 1 have become `merged`, so two ranks change."""
-        n = F.size(p)
-        before = F.when(at > 1, F.array(_rank(literal, F.concat(F.get(p, at - 2), merged)))).otherwise(none)
-        after = F.when(at + 1 < n, F.array(_rank(literal, F.concat(merged, F.get(p, at + 1))))).otherwise(none)
-        new_p = F.concat(F.slice(p, F.lit(1), at - 1), F.array(merged), F.slice(p, at + 2, n))
-        new_r = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(r, at + 2, n))
-        return F.struct(new_p.alias("p"), new_r.alias("r"))
+    pairs = lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), lambda a, b: _rank(literal, F.concat(a, b)))
+    # ranks of neighbours, with a sentinel at both ends: the pair of ranks[a] is pieces[a - 1] and pieces[a], counted from 1
+    none, outer = F.array().cast("array<int>"), F.array(F.lit(NO_RANK))
+    start = _let(F.split(word, ""), lambda p: F.struct(p.alias("p"), F.concat(outer, pairs(p), outer).alias("r")))
+
+    def merge(p: Column, r: Column, a: Column, merged: Column) -> Column:
+        beside = F.array(_rank(literal, F.concat(F.get(p, a - 3), merged)), _rank(literal, F.concat(merged, F.get(p, a))))
+        new_p = F.concat(F.slice(p, F.lit(1), a - 2), F.array(merged), F.slice(p, a + 1, F.size(p)))
+        return F.struct(new_p.alias("p"), F.concat(F.slice(r, F.lit(1), a - 2), beside, F.slice(r, a + 2, F.size(r))).alias("r"))
 
     def step(acc: Column, _: Column) -> Column:
         p, r = acc["p"], acc["r"]
-        first = lambda least: _let(F.array_position(r, least).cast("int"), lambda at: _let(F.concat(F.get(p, at - 1), F.get(p, at)), lambda m: merge(p, r, at, m)))
-        return _let(F.coalesce(F.array_min(r), F.lit(NO_RANK)), lambda least: F.when(least < NO_RANK, first(least)).otherwise(acc))
+        at_least = lambda a: F.when(F.get(r, a - 1) < NO_RANK, _let(F.concat(F.get(p, a - 2), F.get(p, a - 1)), lambda m: merge(p, r, a, m))).otherwise(acc)
+        return _let(F.array_position(r, F.array_min(r)).cast("int"), at_least)
 
     merges = F.when(F.length(word) > 1, F.sequence(F.lit(1), F.length(word) - 1)).otherwise(none)
     merged = F.aggregate(merges, start, step, lambda acc: F.transform(acc["p"], lambda x: _rank(literal, x)))
