@@ -155,7 +155,7 @@ def _descend(x: np.ndarray, y: np.ndarray, change: np.ndarray, fairness: float,
     w = np.zeros(x.shape[1], np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-(x @ w)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
         g = x.T @ ((p - y) * balance) / len(y) + 2 * ridge * w
         if len(change):
             g += 2 * fairness * change.T @ (change @ w) / len(change)
