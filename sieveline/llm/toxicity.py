@@ -35,6 +35,8 @@ SAMPLE = 16_000
 CHOSEN = 800
 LENGTHS = range(3, 9)
 FAIRNESS = 0.5
+#: How far the rare class is weighted up: 0 not at all, 1 to equal shares.
+BALANCE = 0.75
 RIDGE = 2e-4
 ROUNDS = 400
 HELD = 500_000
@@ -150,7 +152,7 @@ def _vectors(rows: DataFrame, names: list[str]) -> list[dict]:
 
 def _descend(x: np.ndarray, y: np.ndarray, change: np.ndarray, fairness: float, ridge: float, rounds: int) -> np.ndarray:
     """Weighted logistic loss + fairness * mean squared change of the logit + ridge, by gradient steps of adapted size (Adam)."""
-    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) ** 0.5
+    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) ** BALANCE
     balance = (balance / balance.mean()).astype(np.float32)
     w = np.zeros(x.shape[1], np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
