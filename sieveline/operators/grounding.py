@@ -120,6 +120,7 @@ def verdicts(answers: DataFrame, found: DataFrame) -> DataFrame:
 
 # ---- grounded texts
 
+#: Texts of empty answers.
 EMPTY_TEXT = "No issues found matching your query."
 NO_RESULT_TEXT = (
     "No issues found matching your query. This could mean:\n• No issues match your criteria\n• You may not have permission to view matching issues\n• Try broadening your search terms"
