@@ -1,12 +1,12 @@
-"""Byte-level BPE by ranks: higher-order functions fold merges over the distinct words of a chunk, decoding joins binary pieces.
+"""Byte-level BPE by ranks: a fold of ranked merges over the bytes of distinct words; decoding joins binary pieces.
 
-A task gathers texts into chunks of about `CHUNK_CHARS` characters. Python splits a chunk by the pattern and lists its distinct words
-once; Spark then encodes each word by a fold: its bytes are the first pieces, the pair of least rank is merged again and again, and the
-ranks come from one literal rank map, a folded constant of the plan (an array of small maps, reached by the hash of the bytes, as a
-single map is searched from end to end). Last, the ids of the words are laid out in the order of the texts. No rows are exchanged.
+A word's bytes are its first pieces; the neighbouring pair of least rank is merged again and again until no pair has a rank. There are two
+forms of the fold. `fold` is a Column of Spark's higher-order functions with a literal rank map (an array of small maps, reached by the
+hash of the bytes, as a single map is searched from end to end). `Encoder` runs the same fold in Python workers, once for each distinct
+word a worker has met lately, and is what `encode` uses: over whole corpora the Column form took about twice the CPU time that the check
+tool allows and too much executor memory (figures in the README). Both give the ids of the rank file's own library. No rows are exchanged.
 
-The fold copies the pieces of a word at every merge, so words over `LONG` bytes (runs without a break) are merged with a heap
-instead; both give the same ids.
+The fold looks at all pairs for every merge, so `Encoder` merges words over `LONG` bytes (runs without a break) with a heap instead.
 
 Defined results: null and empty texts have no tokens; repeated rows and words repeat their ids; of equal ranks the leftmost pair is merged
 first; texts of any length are encoded whole; an empty table gives no rows; further columns are ignored.
@@ -15,6 +15,7 @@ first; texts of any length are encoded whole; an empty table gives no rows; furt
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 import json
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.shared import table
 
-CHUNK_CHARS = 32_000_000
+BATCH_CHARS = 8_000_000
 LONG = 64
 BUCKETS = 32_768
 NO_RANK = 2_147_483_647
@@ -88,6 +89,11 @@ def fold(word: Column, literal: Column) -> Column:
     return _let(_rank(literal, word), lambda whole: F.when(whole < NO_RANK, F.array(whole)).otherwise(merged))
 
 
+def fold_words(words: Column, ranks: dict[bytes, int]) -> Column:
+    """array<array<int>>: ids of each word of an array of words, bytes as characters; the rank map stands in the plan once."""
+    return _let(rank_map(ranks), lambda literal: F.transform(words, lambda w: fold(w, literal)))
+
+
 # ---- long words
 
 
@@ -116,103 +122,100 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-# ---- chunks
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The fold: of all neighbouring pairs the one of least rank, the leftmost of equals, becomes one piece."""
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) > LONG:
+        return merge_long(word, ranks)
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    pairs = [ranks.get(word[i : i + 2], NO_RANK) for i in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) < NO_RANK:
+        i = pairs.index(least)
+        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = ranks.get(pieces[i - 1] + pieces[i], NO_RANK)
+        if i < len(pairs):
+            pairs[i] = ranks.get(pieces[i] + pieces[i + 1], NO_RANK)
+    return [ranks[p] for p in pieces]
 
-CHUNK = "doc_ids array<bigint>, words array<string>, long_words array<binary>, layout binary, counts array<int>"
 
+class Encoder(dict):
+    """Ids of words as little-endian uint32 bytes; at most KEEP words of moderate length are kept at a time."""
 
-def split_chunks(docs: DataFrame, pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """One row a chunk. layout: int32 positions in words, or -1 - position in long_words, of all texts' words one after another."""
+    KEEP, KEEP_LENGTH = 500_000, 48
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        find = regex.compile(pattern).findall
+        self.ranks, self.find, self.pieces = ranks, regex.compile(pattern).findall, pieces_of(ranks)
 
-        class Index(dict):
-            def __missing__(self, w: str) -> int:
-                b = w.encode()
-                if len(b) > LONG:
-                    long_words.append(b)
-                    self[w] = -len(long_words)
-                else:
-                    words.append(b.decode("latin-1"))
-                    self[w] = len(words) - 1
-                return self[w]
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(merge(word.encode(), self.ranks), "<u4").tobytes()
+        if len(word) <= self.KEEP_LENGTH:
+            if len(self) >= self.KEEP:
+                self.clear()
+            self[word] = ids
+        return ids
 
-        doc_ids, words, long_words, layout, counts, held, index = [], [], [], [], [], 0, Index()
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, self.find(text or "")))
 
-        def row() -> pa.RecordBatch:
-            flat = np.concatenate(layout).astype("<i4").tobytes() if layout else b""
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((doc_ids, words, long_words, flat, counts), kinds, strict=True)], names=[c.split()[0] for c in CHUNK.split(", ")])
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-        for b in batches:
-            for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                found = find(t or "")
-                doc_ids.append(d)
-                counts.append(len(found))
-                layout.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
-                held += len(t or "")
-                if held >= chunk_chars:
-                    yield row()
-                    doc_ids, words, long_words, layout, counts, held, index = [], [], [], [], [], 0, Index()
-        if doc_ids:
-            yield row()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, CHUNK)
+@functools.cache
+def encoder(path: str, pattern: str) -> Encoder:
+    """One for each Python worker, so tasks after the first find the common words known."""
+    return Encoder(load_ranks(path), pattern)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Chunks with the ids of their words: encoded array<array<int>>, beside the columns of CHUNK but words."""
-    encoded = _let(rank_map(ranks), lambda literal: F.transform("words", lambda w: fold(w, literal)))
-    return split_chunks(docs, pattern, chunk_chars).withColumn("encoded", encoded).drop("words")
+def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for k, v in ranks.items():
+        out[v] = k
+    return out
 
 
-def lay_out(chunk: dict, ranks: dict[bytes, int]) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(doc_id, ids as uint32) of each text of a chunk. chunk: one row of `encode` as Arrow scalars."""
-    encoded = chunk["encoded"].values
-    short_at, flat = encoded.offsets.to_numpy() - encoded.offsets[0].as_py(), encoded.flatten().to_numpy()
-    long_ids = [np.array(merge_long(w, ranks), np.int64) for w in chunk["long_words"].as_py()]
-    sizes = np.concatenate([np.diff(short_at), np.array([len(x) for x in reversed(long_ids)], np.int64)]).astype(np.int64)
-    flat = np.concatenate([flat, *reversed(long_ids)]).astype("<u4")  # position -1 is the first long word: negative positions count from the end
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
-    layout = np.frombuffer(chunk["layout"].as_py(), "<i4").astype(np.int64)
-    at = 0
-    for d, n in zip(chunk["doc_ids"].as_py(), chunk["counts"].as_py(), strict=True):
-        w = layout[at : at + n]
-        at += n
-        size = sizes[w] if n else np.zeros(0, np.int64)
-        total = int(size.sum())
-        first = np.repeat(starts[w] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if n else np.zeros(0, np.int64)
-        yield d, flat[first + np.arange(total)] if total else np.zeros(0, "<u4")
+def _per_text(docs: DataFrame, one, schema: str, kinds: list[pa.DataType]) -> DataFrame:
+    """doc_id and one(text) of every row, in batches of bounded size."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-def decode(ids: np.ndarray, pieces: list[bytes]) -> bytes:
-    return b"".join(map(pieces.__getitem__, ids.tolist()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, held = [], 0
+            for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                rows.append((d, *one(t)))
+                held += len(t or "")
+                if held > BATCH_CHARS:
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
 
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
 
-def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
-    out = [b""] * (max(ranks.values()) + 1)
-    for k, v in ranks.items():
-        out[v] = k
-    return out
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids): ids as little-endian uint32 bytes."""
+    return _per_text(docs, lambda t: (encoder(ranks_path, pattern).encode(t),), "doc_id long, ids binary", [pa.int64(), pa.binary()])
 
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Encodes, decodes what it encoded, and gives digests of both."""
     import public_tokenizers
 
-    ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    sha = lambda b: hashlib.sha256(b).hexdigest()
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(ranks)
-        for b in batches:
-            for k in range(b.num_rows):
-                rows = []
-                for d, ids in lay_out({n: b[n][k] for n in b.schema.names}, ranks):
-                    rows.append((d, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decode(ids, pieces)).hexdigest()))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    done = encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return done.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(text: str | None) -> tuple[int, str, str]:
+        e = encoder(path, pattern)
+        ids = e.encode(text)
+        return len(ids) // 4, sha(ids), sha(e.decode(ids))
+
+    return _per_text(table(spark, sf_dir, "documents"), digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.int64(), pa.string(), pa.string()])

@@ -145,23 +145,31 @@ def test_differencing_is_near_equal():
 
 
 def test_bpe(docs, empty):
-    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
     known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    chunks = bpe.encode(docs, ranks, P.PATTERN, chunk_chars=2000).toArrow()
-    pieces, got = bpe.pieces_of(ranks), Counter()
-    for k in range(chunks.num_rows):
-        for d, ids in bpe.lay_out({n: chunks[n][k] for n in chunks.column_names}, ranks):
-            got[d, ids.tobytes()] += 1
-            assert bpe.decode(ids, pieces).decode() in {t or "" for x, t in TEXTS if x == d}
-    assert got == Counter((d, np.array(known.encode_ordinary(t or ""), "<u4").tobytes()) for d, t in TEXTS)
-    assert bpe.encode(empty, ranks, P.PATTERN).count() == 0
+    got = bpe.encode(docs, path, P.PATTERN).collect()
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == Counter((d, np.array(known.encode_ordinary(t or ""), "<u4").tobytes()) for d, t in TEXTS)
+    e = bpe.Encoder(ranks, P.PATTERN)
+    e.KEEP = 3
+    assert all(e.decode(e.encode(t)).decode() == (t or "") for _, t in TEXTS) and len(e) <= 3
+    assert bpe.encode(empty, path, P.PATTERN).count() == 0
+
+
+def test_bpe_as_higher_order_functions(spark):
+    """The Column form of the fold gives the same ids."""
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    words = [w.encode() for _, t in TEXTS for w in re.findall(r" ?\w+|\W", t or "") if len(w) < 40][:400] + [bytes([b]) for b in range(256)]
+    df = spark.createDataFrame([([w.decode("latin-1") for w in words],)], "words array<string>")
+    got = df.select(bpe.fold_words(F.col("words"), ranks).alias("e")).first()["e"]
+    assert [list(x) for x in got] == [bpe.merge(w, ranks) for w in words]
 
 
 @pytest.mark.parametrize("word", [b"a", b"a" * 700, b"abcab" * 99, bytes(range(256)), "é日本".encode() * 50])
 def test_long_words_merge_the_same(word):
     ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    assert bpe.merge_long(word, ranks) == known._encode_single_piece(word)
+    assert bpe.merge_long(word, ranks) == known._encode_single_piece(word) == bpe.merge(word, ranks)
 
 
 # ---- language model
