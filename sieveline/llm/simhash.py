@@ -245,10 +245,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = SHARD_POI
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs, all columns as they are, with the row of least doc id of each component, once. Rows without an id can't be named and all stay."""
-    chosen = near_duplicates(docs.filter("doc_id is not null").select("doc_id", "text"), radius).select(F.col("component_id").alias("doc_id")).distinct()
+    """docs, all columns as they are, with one row of each component: of least doc id, then of least text hash. Rows without an id can't be named and all stay."""
     named = docs.filter("doc_id is not null")
-    return named.join(cut(chosen, "simhash-chosen"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.filter("doc_id is null"))
+    rows = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    marks = cut(rows.select("mark", "text").dropDuplicates(["mark"]), "simhash-marks")
+    # a text's component does not depend on its id: the search runs over the different texts, named by their hashes
+    found = near_duplicates(marks.select(F.col("mark").alias("doc_id"), "text"), radius).select(F.col("doc_id").alias("mark"), F.col("component_id").alias("part"))
+    chosen = rows.select("doc_id", "mark").join(found, "mark").groupBy("part").agg(F.min(F.struct("doc_id", "mark")).alias("c"))
+    chosen = cut(chosen.select(F.col("c.doc_id").alias("_chosen_id"), F.col("c.mark").alias("_chosen_mark")), "simhash-chosen")
+    kept = named.join(chosen, (F.col("doc_id") == F.col("_chosen_id")) & (F.xxhash64("text") == F.col("_chosen_mark")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns).union(docs.filter("doc_id is null"))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sieveline.llm import near_copies
+from sieveline.llm import near_copies, simhash
 from tests.llm.test_operators import plain_fingerprint
 
 
@@ -73,3 +73,10 @@ def test_keep_one_by_row(spark):
     kept = near_copies.keep_one(d)
     assert kept.columns == d.columns and sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[1], rows[4]], key=repr)
     assert near_copies.keep_one(d.filter("false")).count() == 0
+
+
+def test_digest_keeps_a_row_of_each_component_under_one_id(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b), (None, a)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([rows[0], rows[1], rows[3]], key=repr)
