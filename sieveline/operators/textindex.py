@@ -108,6 +108,12 @@ def similar(index: TextIndex, key: str, top_k: int = 3, min_score: float = 0.1)
     return first.withColumn("rank", F.row_number().over(again)).filter(F.col("rank") <= top_k).drop("query_id")
 
 
+def similar_batch(index: TextIndex, keys: DataFrame, top_k: int = 3, min_score: float = 0.1) -> DataFrame:
+    """(query_id, key, ord, score, rank): `similar` for all documents in keys (key) in one plan; query_id is the document's key."""
+    own = index.postings.join(keys.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("query_id"), "term", "tf")
+    return ranked(similarities(index, own).filter("query_id <> key"), top_k, min_score)
+
+
 @dataclass
 class SearchOutcome:
     success: bool

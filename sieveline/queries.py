@@ -134,6 +134,12 @@ def txt_similar(spark: SparkSession, d: str) -> DataFrame:
     return textindex.similar(_index(spark, d), SIMILAR_TO, 10).select("key", "score", "rank")
 
 
+def txt_similar_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every document whose id is divisible by 20 as a query against all documents: the best ten others."""
+    keys = tables.documents(spark, d).filter(F.col("ord") % 20 == 0)
+    return textindex.similar_batch(_index(spark, d), keys, 10).select("query_id", "key", "score", "rank")
+
+
 _STOPS = ", ".join(f"'{w}'" for w in STOPWORDS)
 TEXT_SQL = f"""{tables.DOCUMENTS_SQL},
 tok AS MATERIALIZED (SELECT ord, key, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: len(x) > 1 AND x NOT IN ({_STOPS})) AS t FROM doc),
@@ -391,7 +397,7 @@ QUERIES: dict[str, Query] = (
     {n: _filter(n) for n in FILTERS}
     | {n: _ordered(n) for n in ORDERS}
     | {f"dom_{f}": _domain(f) for f in ("assignee", "labels", "components")}
-    | {f.__name__: f for f in (cnt_filtered, txt_tokens, txt_tf, txt_idf, txt_norm, txt_search, txt_search_batch, txt_similar, hyb_rank, acl_matrix, acl_reasons, acl_redact, acl_summary, route_batch)}
+    | {f.__name__: f for f in (cnt_filtered, txt_tokens, txt_tf, txt_idf, txt_norm, txt_search, txt_search_batch, txt_similar, txt_similar_batch, hyb_rank, acl_matrix, acl_reasons, acl_redact, acl_summary, route_batch)}
     | {f.__name__: f for f in (val_keys, val_unknown, val_unretrieved, val_counts, val_status, val_priority, val_assignee, val_verdict)}
     | {"gnd_list": _grounded("list"), "gnd_count": _grounded("count"), "gnd_detail": _grounded("detail"), "ans_status_summary": ans_status_summary, "ans_first5": ans_first5}
     | {n: _pipe(q) for n, q in PIPE.items()}
@@ -413,6 +419,7 @@ SQL: dict[str, str] = (
         "txt_search": _search_sql(_terms_sql(SEARCH_TEXT), 10, 0.05).format("key, score, CAST(rank AS INTEGER) AS rank"),
         "txt_search_batch": _search_sql(_BENCH_SQL, 5, 0.1).format("query_id, key, score, CAST(rank AS INTEGER) AS rank"),
         "txt_similar": _search_sql(f"SELECT 0 AS query_id, term, tf FROM tf WHERE key = '{SIMILAR_TO}'", 10, 0.1, f"key = '{SIMILAR_TO}'").format("key, score, CAST(rank AS INTEGER) AS rank"),
+        "txt_similar_batch": _search_sql("SELECT key AS query_id, term, tf FROM tf WHERE ord % 20 = 0", 10, 0.1, "query_id = key").format("query_id, key, score, CAST(rank AS INTEGER) AS rank"),
         "hyb_rank": HYB_SQL,
         "acl_matrix": f"{ACL_SQL}SELECT user_id, key, reason IS NULL AS allowed FROM dec",
         "acl_reasons": f"{ACL_SQL}SELECT user_id, reason AS deny_reason, count(*) AS n FROM dec WHERE reason IS NOT NULL GROUP BY 1, 2",
