@@ -1,19 +1,21 @@
-"""LM scoring by context-tree weighting over the bytes of words.
+"""LM scoring by context-tree weighting over the bytes of a text.
 
-A token (a word, or the end of a text) is coded byte by byte with a closing byte; each byte is eight binary decisions along the prefix of its
-bits, and each decision is predicted in every context of the last 0 to D bytes of the token. A node keeps a Krichevsky-Trofimov estimate; the
-weighted probability of a node is half its own estimate and half the product of its children's, so all depths are mixed by how well each coded
-the training tokens. The trained mixture is fixed before scoring: the score of a text is the sum over its tokens, and gives code length per byte.
+A text is coded as the bytes of its words, one space between words and one line break as its end. Each byte is eight binary decisions along the
+prefix of its bits, and each decision is predicted in every context of the last 0 to `DEPTH` bytes, which run over word boundaries (before a
+text stand line breaks). A node is a context with a bit prefix and keeps a Krichevsky-Trofimov estimate; its weighted probability is half its own
+estimate and half the product of its children's, so all depths are mixed by how well each codes the training texts. A child without counts
+predicts one half. The trained mixture is fixed before scoring; the score of a text is the sum over its bytes.
 
-All training tokens count: tasks count tokens with bounded memory, Spark adds them up to one table of tokens (growing with the corpus), and the
-context counts are sums over that table. D is the largest depth up to `MAX_DEPTH` whose (context, byte) counts stay within `MODEL_ROWS`, which bounds
-the model that goes to the tasks; a smaller depth leaves out no token, it only shortens the contexts. Tokens are scored once each in the table.
-Texts meet the table in two ways that cover all tokens: the `COMMON` most frequent tokens (a bounded number) go to the tasks, the others are
-joined as (doc_id, token, times) rows; those are rare tokens by choice, so no key is hot.
+The tree is never in one place. Tasks count (context, byte) keys of all texts with bounded memory and Spark adds them up. The tree's lowest
+levels are built from the keys of one context of `DEPTH - 2` bytes, a group that holds 256 * 256 contexts at most; the levels above are merges of at most
+256 children, level by level. What the upper levels give is passed down the same way, and each group then names the log probability of each
+of its keys. Texts meet these in two ways that cover all positions: the `COMMON_KEYS` most frequent keys (a bounded number) go to the tasks, the
+others are joined as (row, key, times); those are rare by choice, so no key is hot. Tokens, for the base score, are met likewise.
+The depth and all else are the same at every size of the corpus.
 
 Defined results: null and empty texts are one end token; a null doc id counts as an empty string for the split; repeated rows are learnt and
-scored as often as they stand there; tokens of one frequency are common or rare together; with nothing to learn from, all decisions are even; an
-empty table gives no rows; further columns are ignored.
+scored as often as they stand there; tokens or keys of one frequency are common or rare together; with nothing to learn from, all decisions are even;
+texts of any length are scored whole, in pieces of bounded size; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,19 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.shared import cut, table
+from sieveline.llm.shared import Scratch, cut, table
 
-MAX_DEPTH = 5
-MODEL_ROWS = 1 << 20
-COMMON = 150_000
-#: Different tokens that a task holds before it passes its counts on.
-HELD = 400_000
+DEPTH = 6
+#: The most tokens and keys that go to the tasks.
+COMMON, COMMON_KEYS = 150_000, 2_000_000
+#: Different tokens or keys that a task holds before it passes its counts on.
+HELD, HELD_KEYS = 400_000, 4_000_000
+#: Positions of texts, and keys of groups, that are worked on at once.
+PIECE, SLICE = 2_000_000, 500_000
 
-#: The end of a text as a token, and the closing byte of tokens: no word has either.
-END, CLOSE = b"\n", 0x20
+#: The end of a text as a token: no word has it.
+END = b"\n"
 LN10, LN2 = float(np.log(10.0)), float(np.log(2.0))
 
 
@@ -50,6 +54,56 @@ def tokens(text: str | None) -> list[bytes]:
     return found
 
 
+# ---- positions of texts
+
+
+def keys_of(parts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, part) of each position behind the first `depth` bytes of each part. A key is the byte, above it the byte before, and so on."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    flat = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+    key = flat.copy()
+    for k in range(1, depth + 1):
+        key[k:] |= flat[:-k] << (8 * k)
+    inside = np.ones(len(flat), bool)
+    starts = np.cumsum(sizes) - sizes
+    for k in range(depth):
+        inside[starts + k] = False
+    return key[inside], np.repeat(np.arange(len(parts)), sizes - depth)
+
+
+def positions(streams: Iterator[bytes], depth: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, number of the stream) of all positions, about `piece` at a time; long streams come in several."""
+    parts, owners, held = [], [], 0
+    for i, s in enumerate(streams):
+        s = END * depth + s
+        for at in range(0, len(s) - depth, piece):
+            parts.append(s[at : at + piece + depth])
+            owners.append(i)
+            held += len(parts[-1]) - depth
+            if held >= piece:
+                key, part = keys_of(parts, depth)
+                yield key, np.array(owners)[part]
+                parts, owners, held = [], [], 0
+    if parts:
+        key, part = keys_of(parts, depth)
+        yield key, np.array(owners)[part]
+
+
+def stream(found: list[bytes]) -> bytes:
+    """What is coded: found ends with END."""
+    return b" ".join(found[:-1]) + END
+
+
+def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different keys in order, and the sums of values over them."""
+    if not len(key):
+        return key, *values
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], *(np.add.reduceat(v[order], first) for v in values)
+
+
 # ---- counts
 
 
@@ -77,42 +131,30 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
-def positions(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all bytes of all words with their closing byte: packed context of the last `depth` bytes (0 before the word), byte, word index."""
-    closed = [w + bytes([CLOSE]) for w in words]
-    sizes = np.fromiter(map(len, closed), np.int64, len(closed))
-    flat = np.frombuffer(b"".join(closed), np.uint8)
-    owner = np.repeat(np.arange(len(closed)), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    ctx = np.zeros(len(flat), np.int64)
-    for k in range(1, depth + 1):
-        back = np.zeros(len(flat), np.int64)
-        back[k:] = flat[:-k] if k < len(flat) else 0
-        ctx |= np.where(place >= k, back, 0) << (8 * (k - 1))
-    return ctx, flat, owner
-
-
-def context_counts(words: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(key, n): key is context << 8 | byte, n how often training tokens have it. words: token, c."""
+def key_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, n, c): n times in all texts, c of them in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ctx, byte, owner = positions(b["token"].to_pylist(), depth)
-            keys, which = np.unique(ctx << 8 | byte, return_inverse=True)
-            n = np.bincount(which, weights=b["c"].to_numpy()[owner], minlength=len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+        held = tuple(np.empty(0, np.int64) for _ in range(3))
 
-    return words.filter("c > 0").select("token", "c").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        def out() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(held[0]), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in held], names=["key", "n", "c"])
 
+        for b in batches:
+            learns = np.array([not held_out(d) for d in b["doc_id"].to_pylist()], np.int64)
+            for key, i in positions((stream(tokens(t)) for t in b["text"].to_pylist()), depth):
+                new = _summed(key, np.ones(len(key), np.int64), learns[i])
+                held = _summed(*(np.concatenate(x) for x in zip(held, new, strict=True)))
+                if len(held[0]) > HELD_KEYS:
+                    yield from out()
+                    held = tuple(x[:0] for x in held)
+        yield from out()
 
-def shallower(counts: DataFrame, depth: int) -> DataFrame:
-    """The same counts in contexts of `depth` bytes."""
-    mask = (1 << (8 * depth)) - 1
-    key = F.shiftleft(F.shiftright("key", 8).bitwiseAND(mask), 8).bitwiseOR(F.col("key").bitwiseAND(255))
-    return counts.groupBy(key.alias("key")).agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, n long, c long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
-# ---- the tree
+# ---- nodes
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -134,171 +176,343 @@ def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - 1.1447298858494002  # ln pi
 
 
-class Tree:
-    """Nodes by depth: sorted keys (context << 8 | bit prefix with a leading one) and the mixed probability of a one there."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int):
-        self.depth = depth
-        level: list[tuple] = []
-        ctx, byte = keys >> 8, keys & 255
-        for d in range(depth, -1, -1):
-            own = ctx & ((1 << (8 * d)) - 1)
-            rows = []
-            for k in range(8):  # prefixes of one length at a time: less memory, and no node is in two
-                at, which = np.unique(own << 8 | (1 << k) | (byte >> (8 - k)), return_inverse=True)
-                every, ones = np.bincount(which, weights=n), np.bincount(which, weights=n * ((byte >> (7 - k)) & 1))
-                rows.append((at, every - ones, ones))
-            at, zeros, ones = (np.concatenate(x) for x in zip(*rows, strict=True))
-            order = np.argsort(at)
-            level.append((at[order], zeros[order], ones[order]))
-        level.reverse()  # by depth, from 0
-        self.keys = [x[0] for x in level]
-        # upwards: weighted probabilities, and the share of a node's own estimate
-        share: list[np.ndarray] = [np.empty(0)] * (depth + 1)
-        children = np.zeros(0)
-        for d in range(depth, -1, -1):
-            at, zeros, ones = level[d]
+def _estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1)
+
+
+def _within(ctx: np.ndarray, depth: int) -> np.ndarray:
+    return ctx & ((1 << (8 * depth)) - 1)
+
+
+def nodes_at(key: np.ndarray, c: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, zeros, ones) of one depth: a node is context << 8 | bit prefix with a leading one."""
+    pair, c = _summed(_within(key >> 8, depth) << 8 | key & 255, c)
+    ctx, byte = pair >> 8 << 8, pair & 255
+    parts = []
+    for k in range(8):  # pairs are in order, so are their prefixes of one length
+        bit = (byte >> (7 - k)) & 1
+        parts.append(_summed(ctx | (1 << k) | byte >> (8 - k), c * (1 - bit), c * bit))
+    node, zeros, ones = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(node)
+    return node[order], zeros[order].astype(float), ones[order].astype(float)
+
+
+def _up(node: np.ndarray, depth: int) -> np.ndarray:
+    """The node above, in the context of `depth` bytes."""
+    return _within(node >> 8, depth) << 8 | node & 255
+
+
+class Levels:
+    """Nodes of the depths top to depth, with weighted probabilities and the share of each node's own estimate."""
+
+    def __init__(self, key: np.ndarray, c: np.ndarray, top: int, depth: int):
+        self.top, self.depth = top, depth
+        self.nodes, self.share, self.weighted = {}, {}, {}
+        for d in range(depth, top - 1, -1):
+            at, zeros, ones = self.nodes[d] = nodes_at(key, c, d)
             kt = _kt(zeros, ones)
             if d == depth:
-                share[d], weighted = np.ones(len(at)), kt
+                self.share[d], self.weighted[d] = np.ones(len(at)), kt
             else:
-                below = np.bincount(np.searchsorted(at, self._up(self.keys[d + 1], d)), weights=children, minlength=len(at))
-                weighted = np.logaddexp(kt, below) - LN2
-                share[d] = np.exp(kt - LN2 - weighted)
-            children = weighted
-        # downwards: what the depths so far give, and the share that deeper ones still have
-        self.one: list[np.ndarray] = []
-        given, rest = np.zeros(0), np.zeros(0)
-        for d in range(depth + 1):
-            at, zeros, ones = level[d]
-            estimate = (ones + 0.5) / (zeros + ones + 1)
-            if d == 0:
-                given, rest = share[0] * estimate, 1 - share[0]
+                below = np.bincount(np.searchsorted(at, _up(self.nodes[d + 1][0], d)), weights=self.weighted[d + 1], minlength=len(at))
+                self.weighted[d] = np.logaddexp(kt, below) - LN2
+                self.share[d] = np.exp(kt - LN2 - self.weighted[d])
+
+    def log_p(self, key: np.ndarray, groups: np.ndarray, given: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each key. groups: contexts of `top` bytes in order; given, rest: what the depths above give by group and prefix."""
+        one = {}
+        g = r = np.empty(0)
+        for d in range(self.top, self.depth + 1):
+            at, zeros, ones = self.nodes[d]
+            if d == self.top:
+                group = np.searchsorted(groups, at >> 8)
+                g, r = given[group, at & 255], rest[group, at & 255]
             else:
-                up = np.searchsorted(self.keys[d - 1], self._up(at, d - 1))
-                given, rest = given[up] + rest[up] * share[d] * estimate, rest[up] * (1 - share[d])
-            self.one.append((given + rest * 0.5).astype(np.float64))  # a child without counts gives one half
-
-    @staticmethod
-    def _up(node: np.ndarray, d: int) -> np.ndarray:
-        """The node of the context of d bytes above."""
-        return ((node >> 8) & ((1 << (8 * d)) - 1)) << 8 | (node & 255)
-
-    def log_p(self, ctx: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """ln of the probability of each byte in its context of `depth` bytes."""
-        out = np.zeros(len(ctx))
+                above = np.searchsorted(self.nodes[d - 1][0], _up(at, d - 1))
+                g, r = g[above], r[above]
+            g, r = g + r * self.share[d] * _estimate(zeros, ones), r * (1 - self.share[d])
+            one[d] = g + r * 0.5  # a child without counts
+        out = np.zeros(len(key))
+        ctx, byte = key >> 8, key & 255
+        group = np.searchsorted(groups, _within(ctx, self.top))
         for k in range(8):
-            prefix, bit = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
-            p, todo = np.full(len(ctx), 0.5), np.arange(len(ctx))
-            for d in range(self.depth, -1, -1):
-                if not len(todo) or not len(self.keys[d]):
-                    break
-                want = (ctx[todo] & ((1 << (8 * d)) - 1)) << 8 | prefix[todo]
-                at = np.minimum(np.searchsorted(self.keys[d], want), len(self.keys[d]) - 1)
-                hit = self.keys[d][at] == want
-                p[todo[hit]] = self.one[d][at[hit]]
+            prefix, bit = (1 << k) | byte >> (8 - k), (byte >> (7 - k)) & 1
+            p, todo = given[group, prefix] + rest[group, prefix] * 0.5, np.arange(len(key))
+            for d in range(self.depth, self.top - 1, -1):
+                at = self.nodes[d][0]
+                if not len(todo) or not len(at):
+                    continue
+                want = _within(ctx[todo], d) << 8 | prefix[todo]
+                place = np.minimum(np.searchsorted(at, want), len(at) - 1)
+                hit = at[place] == want
+                p[todo[hit]] = one[d][place[hit]]
                 todo = todo[~hit]
             out += np.log(np.where(bit == 1, p, 1 - p))
-        return out
+        return out / LN10
+
+
+# ---- the tree in tables
+
+#: A node of a row's context, and what a context and the shorter ones give: by prefix, the probability of a one so far and the share left to longer contexts.
+NODE = np.dtype([("prefix", "u1"), ("zeros", "<f8"), ("ones", "<f8"), ("weighted", "<f8")])
+NOTHING = np.concatenate([np.zeros(256), np.ones(256)])
+
+
+def _prefix_of(context: str, depth: int) -> Column:
+    return F.col(context).bitwiseAND((1 << (8 * depth)) - 1)
+
+
+def grouped(counts: DataFrame, top: int) -> DataFrame:
+    """(ctx, data): for each context of `top` bytes its keys in order, and their n and c, as three arrays of int64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tuple(np.empty(0, np.int64) for _ in range(4))
+
+        def out(upto: int) -> Iterator[pa.RecordBatch]:
+            ctx = held[0][:upto]
+            cuts = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1], [True]])) if upto else np.zeros(1, np.int64)
+            for at in range(0, len(cuts) - 1, 2000):
+                ends = cuts[at : at + 2001].tolist()
+                data = [b"".join(x[a:z].tobytes() for x in held[1:]) for a, z in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(ctx[ends[:-1]]), pa.array(data, pa.binary())], names=["ctx", "data"])
+
+        for b in batches:
+            held = tuple(np.concatenate([x, b[i].to_numpy()]) for i, x in enumerate(held))
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last group may go on
+            if whole > SLICE // 4:
+                yield from out(whole)
+                held = tuple(x[whole:] for x in held)
+        yield from out(len(held[0]))
 
+    rows = counts.select(F.shiftright("key", 8).bitwiseAND((1 << (8 * top)) - 1).alias("ctx"), "key", "n", "c")
+    return rows.repartition(F.col("ctx")).sortWithinPartitions("ctx", "key").mapInArrow(run, "ctx long, data binary")
 
-def train(words: DataFrame, max_depth: int = MAX_DEPTH, model_rows: int = MODEL_ROWS) -> Tree:
-    """The model of the training tokens; at most model_rows counts come to the driver."""
-    counts = cut(context_counts(words, max_depth), "lm-contexts")
-    depth = max_depth
-    while depth > 0 and counts.count() > model_rows:
-        depth -= 1
-        counts = cut(shallower(counts, depth), "lm-contexts")
-    got = counts.toArrow()
-    keys, n = got["key"].to_numpy(), got["n"].to_numpy()
-    order = np.argsort(keys)
-    return Tree(keys[order], n[order], depth)
 
+def _slices(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, their ctx, keys, n, c) of some rows of a batch at a time, by ctx."""
+    ctx, data = b["ctx"].to_numpy(), b["data"]
+    order, some, held = np.argsort(ctx), [], 0
+    for i in order.tolist():
+        some.append(i)
+        held += len(data[i].as_buffer()) // 24
+        if held >= SLICE or i == order[-1]:
+            parts = [np.frombuffer(data[j].as_buffer(), np.int64).reshape(3, -1) for j in some]
+            yield np.array(some), ctx[some], *np.concatenate(parts, axis=1)
+            some, held = [], 0
 
-def score_words(words: DataFrame, tree: Tree) -> DataFrame:
-    """words with lp, the log10 probability of each token."""
-    shared = words.sparkSession.sparkContext.broadcast((tree.keys, tree.one, tree.depth))
+
+def _node_rows(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray, rows: np.ndarray) -> list[bytes]:
+    """One value of NODEs for each row; node >> 8 is a place in rows."""
+    out = np.empty(len(node), NODE)
+    out["prefix"], out["zeros"], out["ones"], out["weighted"] = node & 255, zeros, ones, weighted
+    ends = np.searchsorted(node >> 8, np.arange(len(rows) + 1)).tolist()
+    return [out[a:z].tobytes() for a, z in zip(ends, ends[1:], strict=False)]
+
+
+def lowest(groups: DataFrame, top: int, depth: int) -> DataFrame:
+    """(ctx, nodes) at depth top."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, ctx, key, _, c in _slices(b):
+                known = c > 0
+                x = Levels(key[known], c[known], top, depth)
+                node, zeros, ones = x.nodes[top]
+                place = np.searchsorted(ctx, node >> 8) << 8 | node & 255
+                yield pa.RecordBatch.from_arrays([pa.array(ctx), pa.array(_node_rows(place, zeros, ones, x.weighted[top], ctx), pa.binary())], names=["ctx", "nodes"])
+
+    return groups.select("ctx", "data").mapInArrow(run, "ctx long, nodes binary")
+
+
+def merged(children: DataFrame, depth: int) -> DataFrame:
+    """(ctx, nodes) one level up, at `depth`: each row of at most 256 children."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Tree.__new__(Tree)
-        model.keys, model.one, model.depth = shared.value
         for b in batches:
-            ctx, byte, owner = positions(b["token"].to_pylist(), model.depth)
-            keys, which = np.unique(ctx << 8 | byte, return_inverse=True)
-            lp = model.log_p(keys >> 8, keys & 255)[which] / LN10
-            yield pa.RecordBatch.from_arrays([b["token"], b["n"], b["c"], pa.array(np.bincount(owner, weights=lp, minlength=b.num_rows))], names=["token", "n", "c", "lp"])
+            if not b.num_rows:
+                continue
+            rows, owner = [], []
+            for i, many in enumerate(b["kids"].to_pylist()):
+                rows.append(np.frombuffer(b"".join(x["nodes"] for x in many), NODE))
+                owner.append(np.full(len(rows[-1]), i, np.int64))
+            x = np.concatenate(rows)
+            node, zeros, ones, below = _summed(np.concatenate(owner) << 8 | x["prefix"], x["zeros"], x["ones"], x["weighted"])
+            weighted = np.logaddexp(_kt(zeros, ones), below) - LN2
+            yield pa.RecordBatch.from_arrays([b["ctx"], pa.array(_node_rows(node, zeros, ones, weighted, np.arange(b.num_rows)), pa.binary())], names=["ctx", "nodes"])
+
+    kids = children.groupBy(_prefix_of("ctx", depth).alias("up")).agg(F.sort_array(F.collect_list(F.struct("ctx", "nodes"))).alias("kids"))
+    return kids.select(F.col("up").alias("ctx"), "kids").mapInArrow(run, "ctx long, nodes binary")
+
+
+def passed_down(level: DataFrame, above: DataFrame | None, depth: int) -> DataFrame:
+    """(ctx, state): for each context of the level what it and the shorter ones give. above: the same one level up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for nodes, state in zip(b["nodes"].to_pylist(), b["state"].to_pylist(), strict=True):
+                given, rest = np.frombuffer(state).reshape(2, 256)
+                x = np.frombuffer(nodes, NODE)
+                share = np.exp(_kt(x["zeros"], x["ones"]) - LN2 - x["weighted"])
+                at, g, r = x["prefix"], given + rest * 0.5, np.zeros(256)
+                g[at], r[at] = given[at] + rest[at] * share * _estimate(x["zeros"], x["ones"]), rest[at] * (1 - share)
+                out.append(np.concatenate([g, r]).tobytes())
+            yield pa.RecordBatch.from_arrays([b["ctx"], pa.array(out, pa.binary())], names=["ctx", "state"])
+
+    return _with_state(level, above, depth).mapInArrow(run, "ctx long, state binary")
+
 
-    return words.select("token", "n", "c").mapInArrow(run, "token binary, n long, c long, lp double")
+def _with_state(rows: DataFrame, above: DataFrame | None, depth: int) -> DataFrame:
+    """rows of contexts of `depth` bytes with the state of the context one byte shorter."""
+    if above is None:
+        return rows.withColumn("state", F.lit(bytearray(NOTHING.tobytes())))
+    return rows.withColumn("up", _prefix_of("ctx", depth - 1)).join(above.select(F.col("ctx").alias("up"), "state"), "up").drop("up")
+
+
+def key_scores(groups: DataFrame, above: DataFrame | None, top: int, depth: int) -> DataFrame:
+    """(key, n, lp): log10 of the probability of each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, ctx, key, n, c in _slices(b):
+                state = np.stack([np.frombuffer(b["state"][i].as_buffer()) for i in rows.tolist()])
+                known = c > 0
+                lp = Levels(key[known], c[known], top, depth).log_p(key, ctx, state[:, :256], state[:, 256:])
+                for at in range(0, len(key), 200_000):
+                    part = slice(at, at + 200_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(n[part]), pa.array(lp[part])], names=["key", "n", "lp"])
+
+    return _with_state(groups, above, top).select("ctx", "data", "state").mapInArrow(run, "key long, n long, lp double")
+
+
+def train(docs: DataFrame, scratch: Scratch, depth: int = DEPTH) -> DataFrame:
+    """(key, n, lp) of all keys of all texts, learnt from the training texts."""
+    top = max(depth - 2, 0)
+    groups = scratch.cut(grouped(key_counts(docs, depth), top), "lm-groups")
+    levels = {top: scratch.cut(lowest(groups, top, depth), "lm-nodes")} if top else {}
+    for d in range(top - 1, -1, -1):
+        levels[d] = scratch.cut(merged(levels[d + 1], d), "lm-nodes")
+    state = None
+    for d in range(top):
+        state = scratch.cut(passed_down(levels[d], state, d), "lm-state")
+    return key_scores(groups, state, top, depth)
 
 
 # ---- texts
 
 
-def most_frequent(words: DataFrame, most: int) -> DataFrame:
-    """The tokens above a frequency that at most `most` tokens reach. Frequencies are binned by a hundredth of their logarithm, so few bins are counted."""
+def most_frequent(rows: DataFrame, most: int) -> DataFrame:
+    """The rows above a frequency n that at most `most` rows reach. Frequencies are binned by a hundredth of their logarithm, so few bins are counted."""
     bin_ = F.floor(F.log(F.col("n").cast("double")) * 100)
     left, cutoff = most, None
-    for r in sorted(words.groupBy(bin_.alias("bin")).count().collect(), key=lambda r: -r["bin"]):
+    for r in sorted(rows.groupBy(bin_.alias("bin")).count().collect(), key=lambda r: -r["bin"]):
         left -= r["count"]
         if left < 0:
             break
         cutoff = r["bin"]
-    return words.filter(bin_ >= cutoff) if cutoff is not None else words.filter(F.lit(False))
+    return rows.filter(bin_ >= cutoff) if cutoff is not None else rows.filter(F.lit(False))
 
 
-def score(docs: DataFrame, max_depth: int = MAX_DEPTH, model_rows: int = MODEL_ROWS, common: int = COMMON) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, a row for each row of docs."""
-    spark: SparkSession = docs.sparkSession
-    words = cut(token_counts(docs), "lm-tokens")
-    words = cut(score_words(words, train(words, max_depth, model_rows)), "lm-words")
-    total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    floor = float(np.log10(total + 1 * (kinds + 1)))
-    top = most_frequent(words, common).select("token", "c", "lp").toArrow()
-    base = np.log10(top["c"].to_numpy() + 1.0) - floor
-    known = (top["c"].to_numpy() > 0).astype(np.float64)
-    shared = spark.sparkContext.broadcast((top["token"].to_pylist(), base, known, top["lp"].to_numpy()))
+OWN = (("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64()))
+RARE = (("token", pa.binary()), ("key", pa.int64()), ("times", pa.int64()))
+SEEN = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, lp double, token binary, key long, times long"
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    """Columns of SEEN; those not given are null."""
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], k) if n in columns else pa.nulls(size, k) for n, k in (*OWN, *RARE)], names=[n for n, _ in (*OWN, *RARE)])
+
+
+def met(docs: DataFrame, tokens_: tuple, keys: tuple, depth: int) -> DataFrame:
+    """SEEN: a row for each text with the sums over its common tokens and keys, and (row, token or key, times) of the others.
+
+    tokens_: broadcast (token, base score, known); keys: broadcast (key, lp), in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens_, base_, known_, lp_ = shared.value
-        place = {t: i for i, t in enumerate(tokens_)}
+        names, base_, known_ = tokens_.value
+        key_, lp_ = keys.value
+        place = {t: i for i, t in enumerate(names)}
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            rows = {k: [] for k in ("row", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "lp", "token", "times")}
-
-            def add(*values, rows=rows) -> None:
-                for k, v in zip(rows, values, strict=True):
-                    rows[k].append(v)
-
-            for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            own: dict[str, list] = {n: [] for n, _ in OWN}
+            rare: dict[str, list] = {n: [] for n in ("row", "token", "times")}
+            texts = []
+            for i, (d, t) in enumerate(zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True)):
                 found = tokens(t)
                 at = list(map(place.get, found))
-                rare = Counter(w for w, i in zip(found, at, strict=True) if i is None) if None in at else {}
-                i = np.array([x for x in at if x is not None] if rare else at, np.int64)
-                add(row, d, held_out(d), len(found), len((t or "").encode()), int(known_[i].sum()), float(base_[i].sum()), float(lp_[i].sum()), None, 0)
-                for w, k in rare.items():
-                    add(row, None, None, 0, 0, 0, 0.0, 0.0, w, k)
-                row += 1
-            kinds_ = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds_, strict=True)], names=list(rows))
-
-    seen = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, lp double, token binary, times long")
-    seen = cut(seen, "lm-texts")
-    w = words.select(F.col("token"), "c", F.col("lp").alias("word_lp"))
-    rare = (
-        seen.filter("token is not null").select("row", "token", "times").join(w, "token")
-        .select("row", F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"), ((F.log10(F.col("c") + 1.0) - floor) * F.col("times")).alias("base"), (F.col("word_lp") * F.col("times")).alias("lp"))
-    )
-    own = seen.filter("token is null").select("row", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "lp")
-    none = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_bytes")]
-    parts = own.unionByName(rare.groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("lp").alias("lp")).select("row", *none, "known", "base", "lp"))
-    done = parts.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_bytes").alias("n_bytes"),
-        F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("lp").alias("score"),
-    )
-    bits = -F.col("score") * float(np.log2(10.0)) / F.greatest(F.col("n_bytes"), F.lit(1))
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
+                others = Counter(w for w, i in zip(found, at, strict=True) if i is None) if None in at else {}
+                common = np.array([x for x in at if x is not None] if others else at, np.int64)
+                texts.append(stream(found))
+                for n, v in zip(own, (row + i, d, held_out(d), len(found), len(texts[-1]), int(known_[common].sum()), float(base_[common].sum()), 0.0), strict=True):
+                    own[n].append(v)
+                rare["row"] += [row + i] * len(others)
+                rare["token"] += others.keys()
+                rare["times"] += others.values()
+            total = np.zeros(len(texts))
+            for key, i in positions(iter(texts), depth):
+                order = np.argsort(key)
+                key, i = key[order], i[order]
+                first = np.concatenate([[True], key[1:] != key[:-1]])
+                kind, which = key[first], np.cumsum(first) - 1
+                at = np.minimum(np.searchsorted(key_, kind), max(len(key_) - 1, 0))
+                hit = key_[at] == kind if len(key_) else np.zeros(len(kind), bool)
+                lp = np.zeros(len(kind))
+                lp[hit] = lp_[at[hit]]
+                total += np.bincount(i, weights=lp[which], minlength=len(texts))
+                left = ~hit[which]
+                if left.any():
+                    key, i = key[left], i[left]
+                    order = np.lexsort((i, key))
+                    key, i = key[order], i[order]
+                    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1])]))
+                    yield _batch(row=i[starts] + row, key=key[starts], times=np.diff(np.append(starts, len(key))))
+            own["lp"] = total
+            yield _batch(**own)
+            if rare["row"]:
+                yield _batch(**rare)
+            row += len(texts)
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SEEN)
+
+
+def score(docs: DataFrame, depth: int = DEPTH, common: int = COMMON, common_keys: int = COMMON_KEYS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, a row for each row of docs."""
+    spark: SparkSession = docs.sparkSession
+    with Scratch(spark) as scratch:
+        with Scratch(spark) as model:
+            keys = scratch.cut(train(docs, model, depth), "lm-keys")
+        words = scratch.cut(token_counts(docs), "lm-tokens")
+        total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+        floor = float(np.log10(total + 1 * (kinds + 1)))
+        top = most_frequent(words, common).select("token", "c").toArrow()
+        tokens_ = spark.sparkContext.broadcast((top["token"].to_pylist(), np.log10(top["c"].to_numpy() + 1.0) - floor, top["c"].to_numpy() > 0))
+        top = most_frequent(keys, common_keys).select("key", "lp").toArrow()
+        order = np.argsort(top["key"].to_numpy())
+        keys_ = spark.sparkContext.broadcast((top["key"].to_numpy()[order], top["lp"].to_numpy()[order]))
+        del top, order
+        seen = scratch.cut(met(docs, tokens_, keys_, depth), "lm-texts")
+        tokens_.destroy()
+        keys_.destroy()
+        by_token = seen.filter("token is not null").select("row", "token", "times").join(words.select("token", "c"), "token").select(
+            "row", F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"), ((F.log10(F.col("c") + 1.0) - floor) * F.col("times")).alias("base"), F.lit(0.0).alias("lp"))
+        by_key = seen.filter("key is not null").select("row", "key", "times").join(keys.select("key", F.col("lp").alias("each")), "key").select(
+            "row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("each") * F.col("times")).alias("lp"))
+        sums = [F.sum(c).alias(c) for c in ("known", "base", "lp")]
+        rare = by_token.unionByName(by_key).groupBy("row").agg(*sums)
+        none = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_bytes")]
+        parts = seen.filter("n_tokens is not null").select(*[n for n, _ in OWN]).unionByName(rare.select("row", *none, "known", "base", "lp"))
+        done = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_bytes").alias("n_bytes"), *sums)
+        bits = -F.col("lp") * float(np.log2(10.0)) / F.col("n_bytes")
+        return cut(
+            done.select(
+                "doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lp").alias("score"),
+                bits.alias("bits_per_byte"),
+            ),
+            "lm-scores",
+        )
 
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +15,24 @@ from pyspark.sql import functions as F
 #: The white space that separates words: space and U+0009 to U+000D, nothing else. ``bytes.split()`` splits on the same set.
 BLANKS = "\t\n\x0b\x0c\r "
 
+#: Bytes of an Arrow batch that goes to a Python worker: few long texts make one as well as many short ones.
+BATCH_BYTES = 32 << 20
+
 
 def reachable(spark: SparkSession) -> None:
-    """Puts this package's place on the path of Python workers, for drivers that import it from a path of their own."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+    """Sends this package to the Python workers, once an application, and bounds their batches in bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if spark.conf.get("sieveline.sent", None):
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="sieveline-")  # the driver serves the file from here as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(path)
+    spark.conf.set("sieveline.sent", "true")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path in the folder that the cluster names in spark.checkpoint.dir; all executors and the driver see it.
 
-    Only where that setting is missing (tests, a laptop) a local folder is made, once per application.
+    Only where that setting is missing on a local master (tests, a laptop) a local folder is made, once per application.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sieveline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -41,10 +57,33 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it again. A lost executor costs nothing that is written."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
+    return _written(df, shared_dir(df.sparkSession, label))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that are cut and no longer needed when the block ends: their files go then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def cut(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(shared_dir(self.spark, label))
+        return _written(df, self.paths[-1])
+
+    def __exit__(self, *_) -> None:
+        jvm = self.spark._jvm
+        for p in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
 
 
 def words(text: Column) -> Column:

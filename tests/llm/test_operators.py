@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import math
@@ -175,67 +176,99 @@ def test_long_words_merge_the_same(word):
 # ---- language model
 
 
-def test_tree_against_recursion():
-    rng = np.random.default_rng(0)
-    sample = Counter(bytes(rng.choice(list(b"abc"), rng.integers(1, 5))) for _ in range(40))
-    depth = 2
-    ctx, byte, owner = lm_scoring.positions(list(sample), depth)
-    keys, which = np.unique(ctx << 8 | byte.astype(np.int64), return_inverse=True)
-    n = np.bincount(which, weights=np.array(list(sample.values()))[owner]).astype(np.int64)
-    tree = lm_scoring.Tree(keys, n, depth)
-    rows = [(int(k) >> 8, int(k) & 255, int(c)) for k, c in zip(keys, n, strict=True)]
+def plain_tree(learnt, depth):
+    """log10 of the probability of a byte behind bytes, by the definition of context-tree weighting."""
+    counts, kids = {}, {}
+    for s in learnt:
+        s = b"\n" * depth + s
+        for at in range(depth, len(s)):
+            for d in range(depth + 1):
+                ctx = s[at - d : at]
+                if d:
+                    kids.setdefault(ctx[1:], set()).add(ctx)
+                for k in range(8):
+                    counts.setdefault((ctx, k, s[at] >> (8 - k)), [0, 0])[s[at] >> (7 - k) & 1] += 1
     kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
-    def counted(d, c, k, prefix):
-        out = [0, 0]
-        for x, y, m in rows:
-            if x & ((1 << 8 * d) - 1) == c and y >> (8 - k) == prefix:
-                out[y >> (7 - k) & 1] += m
-        return out
-
-    def weighted(d, c, k, prefix):
-        a, b = counted(d, c, k, prefix)
-        if a + b == 0 or d == depth:
-            return kt(a, b) if a + b else 0.0
-        below = sum(weighted(d + 1, c | z << 8 * d, k, prefix) for z in {x >> 8 * d & 255 for x, _, _ in rows})
-        return float(np.logaddexp(kt(a, b), below)) - math.log(2)
-
-    def one(d, full, k, prefix):
-        c = full & ((1 << 8 * d) - 1)
-        a, b = counted(d, c, k, prefix)
-        if a + b == 0:
+    @functools.cache
+    def weighted(ctx, k, prefix):
+        if (ctx, k, prefix) not in counts:
+            return 0.0
+        own = kt(*counts[ctx, k, prefix])
+        return own if len(ctx) == depth else float(np.logaddexp(own, sum(weighted(x, k, prefix) for x in kids[ctx]))) - math.log(2)
+
+    def one(full, d, k, prefix):
+        ctx = full[depth - d :]
+        if (ctx, k, prefix) not in counts:
             return 0.5
+        a, b = counts[ctx, k, prefix]
         p = (b + 0.5) / (a + b + 1)
         if d == depth:
             return p
-        own = math.exp(kt(a, b) - math.log(2) - weighted(d, c, k, prefix))
-        return own * p + (1 - own) * one(d + 1, full, k, prefix)
+        own = math.exp(kt(a, b) - math.log(2) - weighted(ctx, k, prefix))
+        return own * p + (1 - own) * one(full, d + 1, k, prefix)
+
+    @functools.cache
+    def log_p(full, byte):
+        return sum(math.log10(p if byte >> (7 - k) & 1 else 1 - p) for k in range(8) for p in [one(full, 0, k, byte >> (8 - k))])
+
+    return log_p
+
+
+def plain_score(log_p, s, depth):
+    s = b"\n" * depth + s
+    return sum(log_p(s[at - depth : at], s[at]) for at in range(depth, len(s)))
+
+
+def lm_words(t):
+    return [x.encode() for x in words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] + [b"\n"]
+
+
+def test_the_tree_is_a_distribution():
+    log_p = plain_tree([b"abab abc\n", b"ba\n"], 2)
+    assert all(sum(10 ** log_p(c, y) for y in range(256)) == pytest.approx(1) for c in (b"ab", b"b ", b"zz"))
+
 
-    for full in (0, ord("a"), ord("a") << 8 | ord("b"), ord("z")):
-        assert np.exp(tree.log_p(np.full(256, full), np.arange(256))).sum() == pytest.approx(1)
-        for y in b"abcd ":
-            want = sum(math.log(p if y >> (7 - k) & 1 else 1 - p) for k in range(8) for p in [one(0, full, k, y >> (8 - k))])
-            assert tree.log_p(np.array([full]), np.array([y]))[0] == pytest.approx(want)
+def test_positions_come_in_pieces():
+    streams = [b"abcdefghij\n", b"\n", b"xy z\n", b"q" * 30 + b"\n"]
+    for piece in (1, 7, 10**6):
+        got = [(int(k), int(i)) for key, i in lm_scoring.positions(iter(streams), 3, piece) for k, i in zip(key, i, strict=True)]
+        want = [(sum(p[at - k] << 8 * k for k in range(4)), i) for i, s in enumerate(streams) for p in [b"\n" * 3 + s] for at in range(3, len(p))]
+        assert got == want
+    assert list(lm_scoring.positions(iter([]), 3)) == []
 
 
-def test_lm_scoring(docs, empty):
-    learnt, found = Counter(), {}
+@pytest.mark.parametrize(("depth", "common", "common_keys"), [(4, 0, 0), (3, 3, 40), (2, 10**5, 10**6), (0, 3, 0)])
+def test_lm_scoring(docs, empty, depth, common, common_keys):
+    """Against the definition, text by text; the levels of the tree are in tables (4, 3) or in one group (2, 0)."""
+    learnt = [lm_words(t) for d, t in TEXTS if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2]
+    seen = Counter(w for x in learnt for w in x)
+    n, v = sum(seen.values()), len(seen)
+    log_p = plain_tree([b" ".join(w[:-1]) + b"\n" for w in learnt], depth)
+    got = lm_scoring.score(docs, depth, common, common_keys).collect()
+    assert len(got) == len(TEXTS) and {r["train_tokens"] for r in got} == {n}
+    want = Counter()
     for d, t in TEXTS:
-        w = [x.encode() for x in words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] + [b"\n"]
-        found[d, t] = w
-        if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2:
-            learnt.update(w)
-    n, v = sum(learnt.values()), len(learnt)
-    by_common = []
-    for common in (0, 3, 10**5):
-        got = sorted(lm_scoring.score(docs, common=common, model_rows=60).collect(), key=repr)
-        assert len(got) == len(TEXTS) and {r["train_tokens"] for r in got} == {n}
-        want = Counter((d, len(w), sum(learnt[x] > 0 for x in w), round(sum(math.log10((learnt[x] + 1) / (n + v + 1)) for x in w), 6)) for d, t in TEXTS for w in [found[d, t]])
-        assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
-        assert all(r["score"] < 0 and r["bits_per_byte"] > 0 for r in got)
-        by_common.append(sorted((str(r["doc_id"]), round(r["score"], 6)) for r in got))
-    assert by_common[0] == by_common[1] == by_common[2]
-    assert lm_scoring.score(empty).count() == 0
+        w = lm_words(t)
+        s = b" ".join(w[:-1]) + b"\n"
+        want[d, len(w), sum(seen[x] > 0 for x in w), round(sum(math.log10((seen[x] + 1) / (n + v + 1)) for x in w), 5), round(plain_score(log_p, s, depth), 5)] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 5), round(r["score"], 5)) for r in got) == want
+    assert all(r["bits_per_byte"] > 0 for r in got)
+    assert lm_scoring.score(empty, depth).count() == 0
+
+
+def test_lm_scoring_without_teaching_rows(spark):
+    held = next(d for d in range(100) if lm_scoring.held_out(d))
+    r = lm_scoring.score(spark.createDataFrame([(held, "Two  words")], "doc_id long, text string")).first()
+    assert (r["n_known"], r["train_tokens"], r["base_score"]) == (0, 0, 0.0) and r["score"] == pytest.approx(-10 * 8 * math.log10(2)) and r["bits_per_byte"] == pytest.approx(8)
+
+
+def test_word_order_counts(spark):
+    """Contexts run over word boundaries, so the same words in another order have another score."""
+    rows = [(d, "one two three four") for d in range(12)] + [(100 + d, x) for d in range(7) for x in ("one two three four", "four three two one")]
+    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), common_keys=0).collect()
+    held = [r for r in got if r["held_out"] and r["doc_id"] >= 100]
+    assert held and len({round(r["score"], 3) for r in held}) == 2 * len({r["doc_id"] for r in held}) == 2
 
 
 # ---- media
