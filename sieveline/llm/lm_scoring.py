@@ -33,11 +33,13 @@ from sieveline.llm.shared import Scratch, cut, table
 
 DEPTH = 6
 #: The most tokens and keys that go to the tasks.
-COMMON, COMMON_KEYS = 150_000, 2_000_000
+COMMON, COMMON_KEYS = 150_000, 3_000_000
 #: Different tokens or keys that a task holds before it passes its counts on.
-HELD, HELD_KEYS = 400_000, 4_000_000
+HELD, HELD_KEYS = 400_000, 2_000_000
 #: Positions of texts, and keys of groups, that are worked on at once.
-PIECE, SLICE = 2_000_000, 500_000
+PIECE, SLICE = 3_000_000, 500_000
+#: Texts of a piece that are told apart by as many low bits behind the key.
+TEXTS = 7
 
 #: The end of a text as a token: no word has it.
 END = b"\n"
@@ -48,8 +50,13 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
 
 
-def tokens(text: str | None) -> list[bytes]:
-    found = (text or "").encode().lower().split()
+def texts_of(b: pa.RecordBatch) -> list[bytes | None]:
+    """The texts of a batch in UTF-8."""
+    return b["text"].cast(pa.binary()).to_pylist()
+
+
+def tokens(text: bytes | None) -> list[bytes]:
+    found = (text or b"").lower().split()
     found.append(END)
     return found
 
@@ -71,22 +78,26 @@ def keys_of(parts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return key[inside], np.repeat(np.arange(len(parts)), sizes - depth)
 
 
-def positions(streams: Iterator[bytes], depth: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(key, number of the stream) of all positions, about `piece` at a time; long streams come in several."""
+def positions(streams: Iterator[bytes], depth: int, piece: int = PIECE, many: int = 1 << 40) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(key, number of the stream counted from a first one, that first one) of all positions, about `piece` and at most `many` streams at a time;
+    long streams come in several."""
     parts, owners, held = [], [], 0
+
+    def out() -> tuple[np.ndarray, np.ndarray, int]:
+        key, part = keys_of(parts, depth)
+        return key, (np.array(owners) - owners[0])[part], owners[0]
+
     for i, s in enumerate(streams):
         s = END * depth + s
         for at in range(0, len(s) - depth, piece):
+            if parts and (held >= piece or i - owners[0] >= many):
+                yield out()
+                parts, owners, held = [], [], 0
             parts.append(s[at : at + piece + depth])
             owners.append(i)
             held += len(parts[-1]) - depth
-            if held >= piece:
-                key, part = keys_of(parts, depth)
-                yield key, np.array(owners)[part]
-                parts, owners, held = [], [], 0
     if parts:
-        key, part = keys_of(parts, depth)
-        yield key, np.array(owners)[part]
+        yield out()
 
 
 def stream(found: list[bytes]) -> bytes:
@@ -94,13 +105,18 @@ def stream(found: list[bytes]) -> bytes:
     return b" ".join(found[:-1]) + END
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where a value stands for the first time."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+
+
 def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Different keys in order, and the sums of values over them."""
     if not len(key):
         return key, *values
     order = np.argsort(key)
     key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    first = _firsts(key)
     return key[first], *(np.add.reduceat(v[order], first) for v in values)
 
 
@@ -121,7 +137,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                     counter.clear()
 
         for b in batches:
-            for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            for d, t in zip(b["doc_id"].to_pylist(), texts_of(b), strict=True):
                 (other if held_out(d) else learnt).update(tokens(t))
                 if len(learnt) + len(other) > HELD:
                     yield from out()
@@ -135,23 +151,40 @@ def key_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(key, n, c): n times in all texts, c of them in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = tuple(np.empty(0, np.int64) for _ in range(3))
+        parts, held = [], 0  # of (keys, n << 32 | c)
 
         def out() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(held[0]), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in held], names=["key", "n", "c"])
+            key, both = parts[0]
+            for at in range(0, len(key), 200_000):
+                k, x = key[at : at + 200_000], both[at : at + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(x >> 32), pa.array(x & 0xFFFFFFFF)], names=["key", "n", "c"])
+
+        def merge() -> None:
+            parts[:] = [_summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
 
         for b in batches:
             learns = np.array([not held_out(d) for d in b["doc_id"].to_pylist()], np.int64)
-            for key, i in positions((stream(tokens(t)) for t in b["text"].to_pylist()), depth):
-                new = _summed(key, np.ones(len(key), np.int64), learns[i])
-                held = _summed(*(np.concatenate(x) for x in zip(held, new, strict=True)))
-                if len(held[0]) > HELD_KEYS:
-                    yield from out()
-                    held = tuple(x[:0] for x in held)
-        yield from out()
-
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, n long, c long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+            for key, i, lead in positions((stream(tokens(t)) for t in texts_of(b)), depth):
+                marked = np.sort(key << 1 | learns[lead:][i])
+                first = _firsts(marked)
+                n = np.diff(np.append(first, len(marked)))
+                marked = marked[first]
+                both = n << 32 | n * (marked & 1)
+                first = _firsts(marked >> 1)
+                parts.append((marked[first] >> 1, np.add.reduceat(both, first)))
+                held += len(first)
+                if held > HELD_KEYS + HELD_KEYS // 2:
+                    merge()
+                    held = len(parts[0][0])
+                    if held > HELD_KEYS:
+                        yield from out()
+                        parts, held = [], 0
+        if parts:
+            merge()
+            yield from out()
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "key long, n long, c long")
+    return rows.repartition(F.col("key")).groupBy("key").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))  # tasks have summed already
 
 
 # ---- nodes
@@ -440,7 +473,7 @@ def met(docs: DataFrame, tokens_: tuple, keys: tuple, depth: int) -> DataFrame:
             own: dict[str, list] = {n: [] for n, _ in OWN}
             rare: dict[str, list] = {n: [] for n in ("row", "token", "times")}
             texts = []
-            for i, (d, t) in enumerate(zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True)):
+            for i, (d, t) in enumerate(zip(b["doc_id"].to_pylist(), texts_of(b), strict=True)):
                 found = tokens(t)
                 at = list(map(place.get, found))
                 others = Counter(w for w, i in zip(found, at, strict=True) if i is None) if None in at else {}
@@ -452,23 +485,22 @@ def met(docs: DataFrame, tokens_: tuple, keys: tuple, depth: int) -> DataFrame:
                 rare["token"] += others.keys()
                 rare["times"] += others.values()
             total = np.zeros(len(texts))
-            for key, i in positions(iter(texts), depth):
-                order = np.argsort(key)
-                key, i = key[order], i[order]
-                first = np.concatenate([[True], key[1:] != key[:-1]])
-                kind, which = key[first], np.cumsum(first) - 1
+            for key, i, lead in positions(iter(texts), depth, many=1 << TEXTS):
+                pair = np.sort(key << TEXTS | i)  # a key and its text, in order: no place of a key needs to be found again
+                first = _firsts(pair)
+                times, pair = np.diff(np.append(first, len(pair))), pair[first]
+                key, i = pair >> TEXTS, (pair & ((1 << TEXTS) - 1)) + lead
+                first = _firsts(key)
+                kind = key[first]
                 at = np.minimum(np.searchsorted(key_, kind), max(len(key_) - 1, 0))
                 hit = key_[at] == kind if len(key_) else np.zeros(len(kind), bool)
                 lp = np.zeros(len(kind))
                 lp[hit] = lp_[at[hit]]
-                total += np.bincount(i, weights=lp[which], minlength=len(texts))
-                left = ~hit[which]
+                each = np.diff(np.append(first, len(key)))
+                total += np.bincount(i, weights=np.repeat(lp, each) * times, minlength=len(texts))
+                left = np.repeat(~hit, each)
                 if left.any():
-                    key, i = key[left], i[left]
-                    order = np.lexsort((i, key))
-                    key, i = key[order], i[order]
-                    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1])]))
-                    yield _batch(row=i[starts] + row, key=key[starts], times=np.diff(np.append(starts, len(key))))
+                    yield _batch(row=i[left] + row, key=key[left], times=times[left])
             own["lp"] = total
             yield _batch(**own)
             if rare["row"]:

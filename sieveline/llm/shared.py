@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 BLANKS = "\t\n\x0b\x0c\r "
 
 #: Bytes of an Arrow batch that goes to a Python worker: few long texts make one as well as many short ones.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def reachable(spark: SparkSession) -> None:

@@ -232,10 +232,11 @@ def test_the_tree_is_a_distribution():
 def test_positions_come_in_pieces():
     streams = [b"abcdefghij\n", b"\n", b"xy z\n", b"q" * 30 + b"\n"]
     for piece in (1, 7, 10**6):
-        got = [(int(k), int(i)) for key, i in lm_scoring.positions(iter(streams), 3, piece) for k, i in zip(key, i, strict=True)]
+        got = [(int(k), int(i) + lead) for key, i, lead in lm_scoring.positions(iter(streams), 3, piece) for k, i in zip(key, i, strict=True)]
         want = [(sum(p[at - k] << 8 * k for k in range(4)), i) for i, s in enumerate(streams) for p in [b"\n" * 3 + s] for at in range(3, len(p))]
         assert got == want
     assert list(lm_scoring.positions(iter([]), 3)) == []
+    assert [(len(key), lead, int(i.max())) for key, i, lead in lm_scoring.positions(iter([b"a\n"] * 300), 2, many=128)] == [(256, 0, 127), (256, 128, 127), (88, 256, 43)]
 
 
 @pytest.mark.parametrize(("depth", "common", "common_keys"), [(4, 0, 0), (3, 3, 40), (2, 10**5, 10**6), (0, 3, 0)])
