@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.shared import cut
+from sieveline.llm.shared import Scratch
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -22,18 +22,21 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(links: DataFrame, label: str = "components") -> DataFrame:
+def connected_components(links: DataFrame, label: str = "components", scratch: Scratch | None = None) -> DataFrame:
     """(node, root): root is the least node that can be reached. links: u, v (long), u <> v, in any order, repeats allowed.
 
-    Each round is written to the shared folder, so no round depends on an executor's memory or disk; the number of rounds grows
-    with the logarithm of the longest chain. Only a count and a checksum reach the driver. A hub's links are many rows of one
-    key only in joins, which adaptive execution splits; its minimum is found by partial aggregation.
+    Each round is written to the shared folder, so no round depends on an executor's memory or disk, and the round before is deleted; the number of
+    rounds grows with the logarithm of the longest chain. Only a count and a checksum reach the driver. A hub's links are many rows of one
+    key only in joins, which adaptive execution splits; its minimum is found by partial aggregation. The result goes with scratch, if that is given.
     """
-    now = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), label)
+    own = Scratch(links.sparkSession)
+    now = own.cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), label)
     seen = None
     while True:
-        now = cut(_small_star(_large_star(now).distinct()).distinct(), label)
+        now = own.renew(_small_star(_large_star(now).distinct()).distinct(), label)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
+            if scratch:
+                scratch.paths += own.paths
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state

@@ -78,11 +78,20 @@ class Scratch:
         self.paths.append(shared_dir(self.spark, label))
         return _written(df, self.paths[-1])
 
-    def __exit__(self, *_) -> None:
-        jvm = self.spark._jvm
-        for p in self.paths:
-            path = jvm.org.apache.hadoop.fs.Path(p)
+    def renew(self, df: DataFrame, label: str) -> DataFrame:
+        """`cut`, after which the tables cut before go."""
+        old, self.paths = self.paths, []
+        df = self.cut(df, label)
+        self._delete(old)
+        return df
+
+    def _delete(self, paths: list[str]) -> None:
+        for p in paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.paths)
         self.paths = []
 
 

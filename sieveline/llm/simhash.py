@@ -1,18 +1,20 @@
 """SimHash near-duplicates: fingerprints, exact pairs within a Hamming radius by vantage points, connected components.
 
-Fingerprints of words shingles are 64-bit majority votes. Texts with equal fingerprints collapse to one point before the search.
-Points are then dealt to shards by vantage points in four projections: the 64 bits are four blocks of 16, two points at distance
-3 or less agree in one block at least, and a shard holds the points at one block distance zero from its vantage point, so no
-linked pair is split over shards (each point stands in four). A shard too large for one task is dealt again by four sub-blocks of the
-remaining bits, by the same argument. Inside a shard a vantage-point tree parts the points at the median distance; pairs across
-the part are sought only among points within the radius of the boundary, as the triangle inequality rules out all others.
+Fingerprints of word shingles are 64-bit majority votes. Texts with equal fingerprints collapse to one point before the search.
+The 64 bits are four blocks of 16, and two points at distance 3 or less agree in one block at least. In each of the four projections points are dealt
+to shards by the Hamming distances of their block to a few vantage points: points that agree there have the same distances, so the boundary
+overlaps that the search needs are empty, and no linked pair is split over shards (each point stands in four). The number of vantage points grows
+with the number of points, which sets the size of shards and nothing else. A shard too large for one task is dealt again by its block, then by four
+sub-blocks of the remaining bits, by the same argument, until it is small or so few bits remain free that it can't be large. Inside a shard a
+vantage-point tree parts the points at the median distance; pairs across the part are sought only among points within the radius of the
+boundary, as the triangle inequality rules out all others.
 
 A shard emits a spanning forest of its links rather than all pairs, which keeps reachability and grows with points, not with
 their square. Components come from `components.connected_components`.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts under three words use the whole word
 sequence as one shingle; repeated rows share a fingerprint; ties between doc ids take the least, a null doc id never names a component
-unless nothing else is in it; an empty table gives no rows; further columns are ignored.
+unless nothing else is in it; very long texts are read whole, their votes counted in pieces; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.components import connected_components
-from sieveline.llm.shared import cut, table
+from sieveline.llm.shared import Scratch, cut, table
 
 RADIUS = 3
 SHINGLE = 3
@@ -34,8 +36,10 @@ SEED = 42
 
 #: A shard with more points is dealt again by its remaining bits.
 SHARD_POINTS = 20_000
+#: Points that a shard should have in the mean, and the most vantage points a block is measured from.
+SHARD_MEAN, VANTAGE = 2_000, 5
 #: Below this a tree node compares all its pairs at once.
-LEAF = 256
+LEAF = 64
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -48,8 +52,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(p, SEED) for p in parts), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     votes = np.zeros(64, np.int64)
-    h = np.fromiter((digest(p, SEED) for p in parts), np.uint64)
     for at in range(0, len(h), 1 << 16):  # bounded memory for very long texts
         part = h[at : at + (1 << 16)].astype("<u8")
         votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -169,24 +177,32 @@ def _without(bits, at: int, n: int, width: int):
     return F.shiftleft(high, at).bitwiseOR(low)
 
 
-def shard(points: DataFrame, radius: int = RADIUS, most: int = SHARD_POINTS) -> DataFrame:
-    """(fp, shard): two points within the radius share a shard at least. Shards above `most` points are dealt again, twice at most."""
-    width, done, now = 64, None, points.select("fp", F.lit(0).cast("long").alias("shard"), F.col("fp").alias("free"))
-    for level in range(3):
-        n = -(-width // (radius + 1))
-        if level:
-            sizes = cut(now.groupBy("shard").count().filter(F.col("count") > most).select("shard"), "simhash-large")
-            if sizes.isEmpty():
-                break
-            small = now.join(sizes, "shard", "left_anti").select("fp", "shard")
-            done = small if done is None else done.union(small)
-            now = now.join(sizes, "shard", "left_semi")
-        key = F.shiftleft(F.col("shard"), n + 2).bitwiseOR(F.shiftleft(F.col("b.k").cast("long"), n)).bitwiseOR(F.col("b.value"))
-        key = key.bitwiseAND((1 << 60) - 1).bitwiseOR(F.lit(level << 60).cast("long"))
-        now = _dealt(now, "free", width, radius).select("fp", key.alias("shard"), F.col("b.rest").alias("free"))
-        width -= n
-    rest = now.select("fp", "shard")
-    return rest if done is None else done.union(rest)
+def vantage_points(n: int, bits: int = 16) -> list[int]:
+    """For n points the blocks that distances are measured from: each parts points about eight ways."""
+    count = min(VANTAGE, max(1, -(-max(n // SHARD_MEAN, 1).bit_length() // 3)))
+    return [xxhash.xxh64_intdigest(bytes([j]), SEED) & ((1 << bits) - 1) for j in range(count)]
+
+
+def shard(points: DataFrame, radius: int = RADIUS, most: int = SHARD_POINTS, scratch: Scratch | None = None) -> DataFrame:
+    """(fp, shard): two points within the radius share a shard at least."""
+    _, widest = max(_blocks(64, radius + 1), key=lambda b: b[1])
+    now, width, by_block, done = _dealt(points.select("fp", F.col("fp").alias("free")), "free", 64, radius), 64 - widest, False, None
+    seen = [F.bit_count(F.col("b.value").bitwiseXOR(F.lit(v))) for v in vantage_points(points.count(), widest)]
+    write = scratch.cut if scratch else cut
+    now = now.select("fp", F.xxhash64("b.k", *seen).alias("shard"), F.col("b.value").alias("block"), F.col("b.rest").alias("free"))
+    while True:
+        large = write(now.groupBy("shard").count().filter(F.col("count") > most).select("shard"), "simhash-large")
+        if large.isEmpty() or (by_block and 1 << width <= max(most, 1 << 14)):
+            rest = now.select("fp", "shard")
+            return rest if done is None else done.union(rest)
+        small = now.join(large, "shard", "left_anti").select("fp", "shard")
+        done = small if done is None else done.union(small)
+        now = now.join(large, "shard", "left_semi")
+        if not by_block:
+            now, by_block = now.withColumn("shard", F.xxhash64("shard", "block")), True
+            continue
+        now = _dealt(now, "free", width, radius).select("fp", F.xxhash64("shard", "b.k", "b.value").alias("shard"), F.lit(0).cast("long").alias("block"), F.col("b.rest").alias("free"))
+        width -= -(-width // (radius + 1))
 
 
 #: In shards up to this size neighbours are compared for all shards of a batch at once.
@@ -212,7 +228,7 @@ def _shard_links(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarr
     return np.concatenate(u), np.concatenate(v)
 
 
-def links(points: DataFrame, radius: int = RADIUS, most: int = SHARD_POINTS) -> DataFrame:
+def links(points: DataFrame, radius: int = RADIUS, most: int = SHARD_POINTS, scratch: Scratch | None = None) -> DataFrame:
     """(u, v): as many components as all pairs of different points within the radius have, by few links a point. points: fp, all different."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,30 +245,32 @@ def links(points: DataFrame, radius: int = RADIUS, most: int = SHARD_POINTS) ->
     def out(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return shard(points, radius, most).repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, "u long, v long").distinct()
+    return shard(points, radius, most, scratch).repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = SHARD_POINTS) -> DataFrame:
     """(doc_id, fp, component_id): every row of docs; component_id is the least doc id that can be reached over links."""
-    fps = cut(fingerprints(docs), "simhash-fp")
-    points = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-points")
-    nodes = connected_components(links(points.select("fp"), radius, most), "simhash-components")
-    rooted = points.join(nodes, points["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted, "simhash-roots")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    with Scratch(docs.sparkSession) as scratch:
+        fps = scratch.cut(fingerprints(docs), "simhash-fp")
+        points = scratch.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-points")
+        nodes = connected_components(links(points.select("fp"), radius, most, scratch), "simhash-components", scratch)
+        rooted = points.join(nodes, points["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        rooted = scratch.cut(rooted, "simhash-roots")
+        named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        by_fp = rooted.join(named, "root").select("fp", "component_id")
+        return cut(fps.join(by_fp, "fp").select("doc_id", "fp", "component_id"), "simhash-named")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs, all columns as they are, with one row of each component: of least doc id, then of least text hash. Rows without an id can't be named and all stay."""
     named = docs.filter("doc_id is not null")
     rows = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    marks = cut(rows.select("mark", "text").dropDuplicates(["mark"]), "simhash-marks")
-    # a text's component does not depend on its id: the search runs over the different texts, named by their hashes
-    found = near_duplicates(marks.select(F.col("mark").alias("doc_id"), "text"), radius).select(F.col("doc_id").alias("mark"), F.col("component_id").alias("part"))
-    chosen = rows.select("doc_id", "mark").join(found, "mark").groupBy("part").agg(F.min(F.struct("doc_id", "mark")).alias("c"))
-    chosen = cut(chosen.select(F.col("c.doc_id").alias("_chosen_id"), F.col("c.mark").alias("_chosen_mark")), "simhash-chosen")
+    with Scratch(docs.sparkSession) as scratch:
+        marks = scratch.cut(rows.select("mark", "text").dropDuplicates(["mark"]), "simhash-marks")
+        # a text's component does not depend on its id: the search runs over the different texts, named by their hashes
+        found = near_duplicates(marks.select(F.col("mark").alias("doc_id"), "text"), radius).select(F.col("doc_id").alias("mark"), F.col("component_id").alias("part"))
+        chosen = rows.select("doc_id", "mark").join(found, "mark").groupBy("part").agg(F.min(F.struct("doc_id", "mark")).alias("c"))
+        chosen = cut(chosen.select(F.col("c.doc_id").alias("_chosen_id"), F.col("c.mark").alias("_chosen_mark")), "simhash-chosen")
     kept = named.join(chosen, (F.col("doc_id") == F.col("_chosen_id")) & (F.xxhash64("text") == F.col("_chosen_mark")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns).union(docs.filter("doc_id is null"))
 

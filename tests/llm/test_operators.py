@@ -351,7 +351,7 @@ def test_vantage_points_find_all(n, bits):
     assert simhash.link_points(p).tolist() == plain_roots(p)
 
 
-@pytest.mark.parametrize("most", [20_000, 40, 1])
+@pytest.mark.parametrize("most", [20_000, 40, 6])
 def test_shards_keep_all_links(spark, most):
     rng = np.random.default_rng(5)
     p = [rng.integers(0, 1 << 62, 150).astype(np.uint64)]
@@ -369,6 +369,21 @@ def test_shards_keep_all_links(spark, most):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_shards_of_a_table_are_searched_by_trees(spark, monkeypatch):
+    """On the registered table shards are larger than a leaf, so trees part them at vantage points; and more points have more vantage points."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    points = simhash.cut(simhash.fingerprints(d).select("fp").distinct(), "test-points")
+    sizes = {r["shard"]: r["count"] for r in simhash.shard(points).groupBy("shard").count().collect()}
+    assert sum(sizes.values()) == 4 * points.count() and max(sizes.values()) > 2 * simhash.LEAF
+    fp = np.array([r["fp"] for r in points.collect()], np.int64).view(np.uint64)
+    crossed = []
+    real = simhash._cross
+    monkeypatch.setattr(simhash, "_cross", lambda p, a, b, r, f: (crossed.append((len(a), len(b))), real(p, a, b, r, f)))
+    assert simhash.link_points(fp).tolist() == plain_roots(fp)
+    assert crossed and sum(a + b for a, b in crossed[:1]) < len(fp)  # the triangle bound leaves points out
+    assert [len(simhash.vantage_points(n)) for n in (10, 10_000, 200_000, 10**7, 10**12)] == [1, 1, 3, 5, 5]
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(7, 3), (3, 7)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
