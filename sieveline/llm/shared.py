@@ -20,8 +20,9 @@ BATCH_BYTES = 8 << 20
 
 
 def reachable(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once an application, and bounds their batches in bytes."""
+    """Sends this package to the Python workers, once an application, bounds their batches in bytes, and lets each query's shuffle files go when it ends."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     if spark.conf.get("sieveline.sent", None):
         return
     package = Path(__file__).resolve().parents[1]

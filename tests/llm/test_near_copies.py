@@ -59,6 +59,21 @@ def test_all_pairs_are_found(spark, monkeypatch, few):
     assert got == {d: rows[k][0] for (d, _), k in zip(rows, plain_groups(rows), strict=True)}
 
 
+def test_bitmaps_rule_out_no_similar_pair():
+    rng = np.random.default_rng(8)
+    ruled_out = 0
+    for n in (0, 1, 15, 17, 100, 130, 1000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0.0, 0.3, 0.8, 0.95, 1.0):
+            for m in (0, 1, n // 3, n):
+                b = np.unique(np.concatenate([a[: int(share * len(a))], rng.integers(0, 1 << 63, m - int(share * m)).astype(np.uint64)]))
+                shared = len(np.intersect1d(a, b))
+                most = near_copies.most_shared(near_copies.bitmap(a), len(a), near_copies.bitmap(b), len(b))
+                assert shared <= most <= min(len(a), len(b))
+                ruled_out += n >= 100 and share == 0.3 and m == n and most * 9 < (len(a) + len(b)) * 4
+    assert ruled_out == 3
+
+
 def test_the_stage_asks_for_five_words_and_similarity(spark):
     words = [f"w{x}" for x in range(60)]
     far = next(t for t in (" ".join([*words[:at], "other", *words[at + 1 :]]) for at in (2, 3, 56, 57, 1, 58)) if (plain_fingerprint(t) ^ plain_fingerprint(" ".join(words))).bit_count() > 3)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm import bpe, chat_format, components, lm_scoring, media, packing, quality_model, quality_rules, simhash, toxicity, url_filter
 from sieveline.llm.fitting import label_rows
+from sieveline.llm.shared import Scratch
 
 LONG = "Long " + "abc def ghi jkl " * 6000
 TEXTS = [
@@ -530,11 +531,23 @@ def test_propagation_equals_matrices(spark):
     for (a, b), x in w.items():
         m[a, b] = x
     s, r = np.eye(8)[0], np.eye(8)[3]
-    t, d = s, r
     out, into = m / np.maximum(m.sum(1, keepdims=True), 1e-12), m.T / np.maximum(m.T.sum(1, keepdims=True), 1e-12)
-    for _ in range(8):
-        t, d = 0.15 * s + 0.85 * t @ out, 0.15 * r + 0.85 * d @ into
+    t, d = (0.15 * v @ np.linalg.inv(np.eye(8) - 0.85 * step) for v, step in ((s, out), (r, into)))
     seeds = spark.createDataFrame([(str(i), float(s[i]), float(r[i])) for i in range(8)], "host string, good double, bad double")
-    got = {row["host"]: row for row in url_filter.propagate(seeds, spark.createDataFrame([(str(a), str(b), x) for (a, b), x in w.items()], "src string, dst string, w double")).collect()}
+    links = spark.createDataFrame([(str(a), str(b), x) for (a, b), x in w.items()], "src string, dst string, w double")
+    with Scratch(spark) as scratch:
+        got = {row["host"]: row for row in url_filter.propagate(seeds, links, scratch).collect()}
     for i in range(8):
-        assert got[str(i)]["trust"] == pytest.approx(t[i]) and got[str(i)]["distrust"] == pytest.approx(d[i])
+        assert got[str(i)]["trust"] == pytest.approx(t[i], abs=1e-3) and got[str(i)]["distrust"] == pytest.approx(d[i], abs=1e-3)
+
+
+def test_a_long_chain_is_followed_to_its_end(spark):
+    """Each host links to the next, the last one is blocked by a rule: all are. A host between equal trust and distrust is allowed."""
+    n = 20
+    rows = [(k, f"http://h{k}.org/", f'<A HREF="//h{k + 1}.org/x">') for k in range(n)] + [(n, f"http://h{n}.org/", '<a href="http://end.net/fr/">'), (n + 1, "http://end.net/fr/1", "")]
+    rows += [(100, "http://mid.biz/", '<a href="http://end.net/fr/">')]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {"block"} and len(got) == n + 3
+    even = [(1, "http://good.com/", '<a href="http://mid.biz/">'), (2, "http://mid.biz/", '<a href="http://bad.net/fr/">'), (3, "http://bad.net/fr/", "")]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(even, "page_id long, url string, html string")).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "block"}
