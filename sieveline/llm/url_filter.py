@@ -97,18 +97,24 @@ def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, damping: flo
     out = edges.groupBy("src").agg(F.sum("w").alias("out_w"))
     back = edges.groupBy("dst").agg(F.sum("w").alias("in_w"))
     moves = edges.join(out, "src").join(back, "dst").select("src", "dst", (F.col("w") / F.col("out_w")).alias("a"), (F.col("w") / F.col("in_w")).alias("b"))
-    moves = scratch.cut(moves.select(F.col("src").alias("at"), F.col("dst").alias("to"), "a", F.lit(0.0).alias("b"))
-                        .union(moves.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(0.0).alias("a"), "b")), "url-moves")
+    none = F.lit(0.0)
+    ways = [
+        moves.select(F.col("src").alias("at"), F.col("dst").alias("to"), "a", none.alias("b"), none.alias("keep")),
+        moves.select(F.col("dst").alias("at"), F.col("src").alias("to"), none.alias("a"), "b", none.alias("keep")),
+        # what a host has gathered stays with it: a way to itself, so that a round reads the ranks once
+        edges.select(F.col("src").alias("at")).union(edges.select("dst")).union(seeds.select("host")).distinct().select("at", F.col("at").alias("to"), none.alias("a"), none.alias("b"), F.lit(1.0).alias("keep")),
+    ]
+    moves = scratch.cut(ways[0].union(ways[1]).union(ways[2]), "url-moves")
     rank = seeds.select("host", (F.col("good") / (good or 1.0)).alias("t"), (F.col("bad") / (bad or 1.0)).alias("d"))
     rank = rank.select("host", ((1 - damping) * F.col("t")).alias("trust"), ((1 - damping) * F.col("d")).alias("distrust"), "t", "d")
     own, reached = Scratch(scratch.spark), -1
     while True:
         for _ in range(BLOCK):
-            sent = moves.join(rank, moves["at"] == rank["host"]).filter("t * a > 0 or d * b > 0")
-            sent = sent.select(F.col("to").alias("host"), (damping * F.col("a") * F.col("t")).alias("t"), (damping * F.col("b") * F.col("d")).alias("d"))
-            moved = sent.select("host", ((1 - damping) * F.col("t")).alias("trust"), ((1 - damping) * F.col("d")).alias("distrust"), "t", "d")
-            kept = rank.select("host", "trust", "distrust", F.lit(0.0).alias("t"), F.lit(0.0).alias("d"))
-            rank = kept.union(moved).groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust", "t", "d")))
+            t, d = damping * F.col("a") * F.col("t"), damping * F.col("b") * F.col("d")
+            sent = moves.join(rank, moves["at"] == rank["host"]).select(
+                F.col("to").alias("host"), (F.col("keep") * F.col("trust") + (1 - damping) * t).alias("trust"), (F.col("keep") * F.col("distrust") + (1 - damping) * d).alias("distrust"), t.alias("t"), d.alias("d")
+            )
+            rank = sent.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust", "t", "d")))
         rank = own.renew(rank, "url-rank")
         moving, hosts = rank.agg(F.sum(F.col("t") + F.col("d")), F.count_if((F.col("trust") > 0) | (F.col("distrust") > 0))).first()
         if (moving or 0.0) <= residual and hosts == reached:
