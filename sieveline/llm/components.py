@@ -1,7 +1,13 @@
-"""Connected components of a link table: alternating star contraction on DataFrames, nothing on the driver."""
+"""Connected components of a link table: alternating star contraction on DataFrames, nothing on the driver.
+
+A table of at most `ONE_TASK` links is contracted by one task instead, which gives the same roots.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +28,33 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(links: DataFrame, label: str = "components", scratch: Scratch | None = None) -> DataFrame:
+#: So many links (16 bytes each) go to one task.
+ONE_TASK = 100_000
+
+
+def _by_one_task(links: DataFrame) -> DataFrame:
+    """(u, v): v is the least node that u can be reached from. links: at most ONE_TASK rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        for b in batches:
+            for x, y in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                parent[max(x, y)] = min(x, y)
+        found = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    return links.coalesce(1).mapInArrow(run, "u long, v long")
+
+
+def connected_components(links: DataFrame, label: str = "components", scratch: Scratch | None = None, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root): root is the least node that can be reached. links: u, v (long), u <> v, in any order, repeats allowed.
 
     Each round is written to the shared folder, so no round depends on an executor's memory or disk, and the round before is deleted; the number of
@@ -31,6 +63,11 @@ def connected_components(links: DataFrame, label: str = "components", scratch: S
     """
     own = Scratch(links.sparkSession)
     now = own.cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), label)
+    if now.count() <= one_task:
+        now = own.renew(_by_one_task(now), label)
+        if scratch:
+            scratch.paths += own.paths
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     seen = None
     while True:
         now = own.renew(_small_star(_large_star(now).distinct()).distinct(), label)
