@@ -31,6 +31,14 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(STOPWORDS) & (F.length(t) > 1))
 
 
+#: All white space, line breaks and tabs too.
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACES))
+
+
 def joined_in_order(order: Column, line: Column, separator: str) -> Column:
     """Aggregate: lines joined by their order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l")))), lambda x: x["l"]), separator)

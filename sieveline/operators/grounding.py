@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.functions.columns import chain, joined_in_order
+from sieveline.functions.columns import chain, joined_in_order, stripped
 
 #: How keys and counts are recognised.
 KEY = r"\b([A-Z]{2,10}-\d{1,6})\b"
@@ -89,7 +89,7 @@ def wrong_assignees(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
     """The first `assigned to NAME` behind the key on its line must be part of the actual name; the name may run over lines."""
     rows = mentions(answers).join(retrieved.select("answer_id", "key", "assignee"), ["answer_id", "key"])
     pattern = F.concat(F.lit(r"(?iUd)\Q"), F.col("key"), F.lit(r"\E.*?" + ASSIGNED))
-    rows = rows.withColumn("claimed", F.trim(F.call_function("regexp_extract", F.col("text"), pattern, F.lit(1)))).filter(F.regexp_like("text", pattern))
+    rows = rows.withColumn("claimed", stripped(F.call_function("regexp_extract", F.col("text"), pattern, F.lit(1)))).filter(F.regexp_like("text", pattern))
     wrong = rows.filter(F.col("assignee").isNull() | ~F.contains(F.lower("assignee"), F.lower("claimed")))
     message = F.when(F.col("assignee").isNull(), F.format_string("Assignee mismatch for %s: claimed '%s' but issue is unassigned", "key", "claimed")).otherwise(
         F.format_string("Assignee mismatch for %s: claimed '%s' but actual is '%s'", "key", "claimed", "assignee")

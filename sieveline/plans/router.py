@@ -12,7 +12,7 @@ from enum import StrEnum
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.functions.columns import chain
+from sieveline.functions.columns import chain, stripped
 from sieveline.sources.issues import Domains
 
 
@@ -125,7 +125,7 @@ def route(questions: DataFrame, domains: Domains = DEFAULT_DOMAINS, query: str =
     q = F.col(query)
     low = F.lower(q)
     has = lambda pairs: chain([(F.contains(low, F.lit(w)), F.lit(v)) for w, v in pairs], F.lit(None).cast("string"))
-    any_of = lambda cues: F.trim(low).rlike(_U + "|".join(f"(?:{c})" for c in cues))
+    any_of = lambda cues: stripped(low).rlike(_U + "|".join(f"(?:{c})" for c in cues))
     df = questions.withColumns(
         {
             "f_project": F.get(F.filter(F.regexp_extract_all(q, F.lit(_U + PROJECT), F.lit(1)), lambda x: x.isin(list(domains.projects))), 0),
@@ -153,7 +153,7 @@ def route(questions: DataFrame, domains: Domains = DEFAULT_DOMAINS, query: str =
         rest = F.regexp_replace(rest, _I + _U + p, "")
     mode = chain(
         [
-            (F.length(F.trim(low)) < 3, F.lit(Mode.CLARIFY.value)),
+            (F.length(stripped(low)) < 3, F.lit(Mode.CLARIFY.value)),
             (found & (F.col("f_counts") | ~F.col("f_cue")), F.lit(Mode.JQL.value)),
             (found, F.lit(Mode.HYBRID.value)),
         ],
@@ -161,12 +161,12 @@ def route(questions: DataFrame, domains: Domains = DEFAULT_DOMAINS, query: str =
     )
     df = df.withColumn("mode", mode)
     is_ = lambda m: F.col("mode") == m.value
-    cleaned = F.trim(F.regexp_replace(F.regexp_replace(q, _I + LEADING, ""), r"\?$", ""))
+    cleaned = stripped(F.regexp_replace(F.regexp_replace(q, _I + LEADING, ""), r"\?$", ""))
     return df.withColumns(
         {
             "confidence": chain([(is_(Mode.CLARIFY), F.lit(1.0)), (is_(Mode.JQL) & F.col("f_counts"), F.lit(0.95)), (is_(Mode.JQL), F.lit(0.9)), (is_(Mode.HYBRID), F.lit(0.8)), (F.col("f_cue"), F.lit(0.85))], F.lit(0.6)),
             "jql_query": F.when(is_(Mode.JQL) | is_(Mode.HYBRID), F.col("f_built")),
-            "semantic_query": chain([(is_(Mode.HYBRID), F.trim(rest)), (is_(Mode.SEMANTIC) & F.col("f_cue"), cleaned), (is_(Mode.SEMANTIC), q)], F.lit(None).cast("string")),
+            "semantic_query": chain([(is_(Mode.HYBRID), stripped(rest)), (is_(Mode.SEMANTIC) & F.col("f_cue"), cleaned), (is_(Mode.SEMANTIC), q)], F.lit(None).cast("string")),
         }
     ).drop("f_built", "f_cue", "f_counts", *[f"f_{n}" for n in FIELDS])
 

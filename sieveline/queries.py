@@ -308,7 +308,7 @@ _COUNTS_SQL = "SELECT answer_id, n AS claimed, '1' AS actual, 'Count mismatch: r
 ) + ") WHERE CAST(n AS BIGINT) <> 1"
 _ASSIGNEE_SQL = """
 SELECT answer_id, key, claimed, coalesce(assignee, 'Unassigned') AS actual, 'Assignee mismatch for ' || key || ': claimed ''' || claimed || CASE WHEN assignee IS NULL THEN ''' but issue is unassigned' ELSE ''' but actual is ''' || assignee || '''' END AS message
-FROM (SELECT answer_id, men.key, assignee, trim(regexp_extract(text, '(?i)' || men.key || '.*?assigned\\s+to\\s+([A-Za-z\\s]+?)(?:\\.|,|$)', 1)) AS claimed FROM men JOIN iss ON iss.ord = answer_id AND iss.key = men.key)
+FROM (SELECT answer_id, men.key, assignee, trim(regexp_extract(text, '(?i)' || men.key || '.*?assigned\\s+to\\s+([A-Za-z\\s]+?)(?:\\.|,|$)', 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS claimed FROM men JOIN iss ON iss.ord = answer_id AND iss.key = men.key)
 WHERE claimed <> '' AND (assignee IS NULL OR NOT contains(lower(assignee), lower(claimed)))"""
 VAL_SQL = f"WITH {tables.ISSUES_SQL},{tables.ANSWERS_SQL}\n"
 _STATUS_SQL, _PRIORITY_SQL = _claims_sql("status", tables.DOMAINS.statuses), _claims_sql("priority", tables.DOMAINS.priorities)

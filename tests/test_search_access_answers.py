@@ -198,3 +198,18 @@ def test_answer_that_fails_its_check_falls_back(world):
     finally:
         a.domains = world[0].domains
     assert not r.validation_passed and r.answer.startswith("Found 2 issue(s):\n- OPS-2: Rotate keys [Done]")
+
+
+def test_claims_are_stripped_of_all_white_space(spark):
+    rows = [(0, "OPS-1 is assigned to Ada Moss\n\n"), (1, "OPS-1 is assigned to Ada Moss\n."), (2, "OPS-1 is assigned to Bo Lee\t\n.")]
+    answers = spark.createDataFrame(rows, "answer_id int, text string")
+    retrieved = spark.createDataFrame([(k, "OPS-1", "Ada Moss") for k in range(3)], "answer_id int, key string, assignee string")
+    assert [(r["answer_id"], r["claimed"]) for r in grounding.wrong_assignees(answers, retrieved).collect()] == [(2, "Bo Lee")]
+
+
+def test_column_and_driver_routes_agree_on_white_space(spark):
+    asked = ["\t a \n", "\tissues related to slow trading\n", "\n hi there\t", "Critical bugs related to login\t", " \u00a0x\u00a0"]
+    got = {r["query"]: r for r in router.route(spark.createDataFrame([(q,) for q in asked], "query string")).collect()}
+    for q in asked:
+        r = router.classify(q)
+        assert (got[q]["mode"], got[q]["jql_query"], got[q]["semantic_query"]) == (r.mode.value, r.jql_query, r.semantic_query), q
