@@ -5,7 +5,8 @@ and string expressions over the whole text; no user functions, no shuffle, one p
 
 Defined results: null and empty texts count as zero everywhere and fail the base rule (fewer than 50 words); ties cannot
 arise, as a text is judged alone; repeated rows get equal results; an empty table gives an empty result; other columns
-of the input pass through untouched unless they carry the name of a result column, which then holds the result.
+of the input pass through untouched unless they carry the name of a result column, which then holds the result. Texts of any length are counted whole,
+in arrays of their words and windows, so one row's memory grows with its text.
 """
 
 from __future__ import annotations
@@ -59,42 +60,46 @@ FEW_REPEATS = 24
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts that the rules use. Windows are compared by 64-bit hashes of their three words, within one text only."""
     body = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_w", words(F.col(text)))
-    df = df.withColumn("_n", F.size("_w"))
+    lead = "_"
+    while any(c.startswith(lead) for c in docs.columns):
+        lead += "_"
+    own = lambda name: lead + name  # noqa: E731  a name that no column of docs has
+    df = docs.withColumn(own("w"), words(F.col(text)))
+    df = df.withColumn(own("n"), F.size(own("w")))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-    df = df.withColumn("_lines", lines)
+    df = df.withColumn(own("lines"), lines)
     df = df.withColumn(
-        "_h",
-        F.when(F.col("_n") < 3, F.array().cast("array<bigint>")).otherwise(
+        own("h"),
+        F.when(F.col(own("n")) < 3, F.array().cast("array<bigint>")).otherwise(
             F.transform(
-                F.slice("_w", F.lit(1), F.greatest(F.col("_n") - 2, F.lit(0))),
-                lambda w, i: F.xxhash64(w, F.get(F.col("_w"), i + 1), F.get(F.col("_w"), i + 2)),
+                F.slice(own("w"), F.lit(1), F.greatest(F.col(own("n")) - 2, F.lit(0))),
+                lambda w, i: F.xxhash64(w, F.get(F.col(own("w")), i + 1), F.get(F.col(own("w")), i + 2)),
             )
         ),
     )
-    df = df.withColumn("_s", F.sort_array("_h"))
-    df = df.withColumn("_again", F.array_distinct(F.filter(F.col("_s"), lambda x, i: (i > 0) & (x == F.get(F.col("_s"), i - 1)))))
-    few = F.filter(F.sequence(F.lit(0), F.size("_h") - 1), lambda i: F.array_contains(F.col("_again"), F.get(F.col("_h"), i)))
-    many = _by_sorting("_h")
-    df = df.withColumn("_at", F.when(F.size("_again") == 0, F.array().cast("array<int>")).when(F.size("_again") <= FEW_REPEATS, few).otherwise(many))
+    df = df.withColumn(own("s"), F.sort_array(own("h")))
+    df = df.withColumn(own("again"), F.array_distinct(F.filter(F.col(own("s")), lambda x, i: (i > 0) & (x == F.get(F.col(own("s")), i - 1)))))
+    few = F.filter(F.sequence(F.lit(0), F.size(own("h")) - 1), lambda i: F.array_contains(F.col(own("again")), F.get(F.col(own("h")), i)))
+    many = _by_sorting(own("h"))
+    df = df.withColumn(own("at"), F.when(F.size(own("again")) == 0, F.array().cast("array<int>")).when(F.size(own("again")) <= FEW_REPEATS, few).otherwise(many))
     covered = F.aggregate(
-        "_at",
+        own("at"),
         F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
         lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")),
         lambda a: a["n"],
     )
     return df.withColumns(
         {
-            "n_words": F.col("_n").cast("long"),
-            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+            "n_words": F.col(own("n")).cast("long"),
+            "word_chars": F.length(F.array_join(own("w"), "")).cast("long"),
             "n_symbols": F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long"),
             "n_exclamations": F.regexp_count(body, F.lit("!")).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_stop_words": F.size(F.filter("_w", lambda w: w.isin(STOP_FORMS))).cast("long"),
+            "n_lines": F.size(own("lines")).cast("long"),
+            "n_dup_lines": (F.size(own("lines")) - F.size(F.array_distinct(own("lines")))).cast("long"),
+            "n_stop_words": F.size(F.filter(own("w"), lambda w: w.isin(STOP_FORMS))).cast("long"),
             "n_repeat_words": covered.cast("long"),
         }
-    ).drop("_w", "_n", "_lines", "_h", "_s", "_again", "_at")
+    ).drop(own("w"), own("n"), own("lines"), own("h"), own("s"), own("again"), own("at"))
 
 
 def _by_sorting(h: str) -> Column:

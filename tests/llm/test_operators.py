@@ -58,8 +58,8 @@ def plain_counts(text):
 
 
 def test_quality_rules(docs, empty):
-    got = quality_rules.judge(docs.drop("n_words", "kept", "_w", "_n").withColumn("kept", F.lit(1))).collect()
-    assert len(got) == len(TEXTS)
+    got = quality_rules.judge(docs.withColumn("kept", F.lit(1))).collect()
+    assert len(got) == len(TEXTS) and {(r["_w"], r["_n"], r["x"]) for r in got} == {("z", "z", "z")}
     for r in got:
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == plain_counts(r["text"]), r["doc_id"]
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and not (r["kept"] and r["base_failed"])
