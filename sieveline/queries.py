@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +33,30 @@ FILTERS = {
     "flt_is_not_empty": "labels IS NOT EMPTY",
     "flt_date_ge": "created >= '1998-02-15T00:00:00Z'",
     "flt_date_lt": "created < 1997-06-01",
+    "flt_date_zoneless": "created >= 1997-06-01T12:30:00",
+    "flt_date_slashes": "created < 1997/06/01",
+    "flt_date_day_first": "created >= 15/02/1998",
+    "flt_date_unreadable": "created >= someday",
+    "flt_empty": "",
+    "flt_array_is_null": "labels IS NULL",
+    "flt_array_is_not_null": "components IS NOT NULL",
+    "flt_array_is_empty": "labels IS EMPTY",
+    "flt_not_in_array": "labels NOT IN (promo, small)",
+    "flt_ne_array": "components != Brand#12",
     "flt_unknown_field": "nosuchfield = 1",
     "flt_conj": "project = ASIA AND status = 'In Progress' AND priority = Critical AND labels = promo",
     "flt_or": "(project = ASIA OR project = EUROPE) AND priority = Low OR key = 'AFRICA-1'",
 }
-_NEEDS_ARRAYS = {"flt_in_array", "flt_eq_array", "flt_contains_array", "flt_is_not_empty", "flt_conj"}
+#: Times before a fixed now; months are no unit, so that one keeps every row.
+NOW = datetime(1998, 3, 1, 6, tzinfo=UTC)
+RELATIVE = {"flt_days_ago": "created >= -30d", "flt_weeks_ago": "created < -10w", "flt_hours_ago": "updated >= -36h", "flt_months_ago": "created >= -2m"}
+RELATIVE_SQL = {
+    "flt_days_ago": "created_at >= TIMESTAMP '1998-01-30 06:00:00'",
+    "flt_weeks_ago": "created_at < TIMESTAMP '1997-12-21 06:00:00'",
+    "flt_hours_ago": "created_at >= TIMESTAMP '1998-02-27 18:00:00'",
+    "flt_months_ago": "true",
+}
+_NEEDS_ARRAYS = {"flt_array_is_null", "flt_array_is_not_null", "flt_array_is_empty", "flt_not_in_array", "flt_ne_array", "flt_in_array", "flt_eq_array", "flt_contains_array", "flt_is_not_empty", "flt_conj"}
 
 FILTERS_SQL = {
     "flt_eq": "lower(status) = 'done'",
@@ -53,6 +73,16 @@ FILTERS_SQL = {
     "flt_is_not_empty": "len(labels) > 0",
     "flt_date_ge": "created_at >= TIMESTAMP '1998-02-15'",
     "flt_date_lt": "created_at < TIMESTAMP '1997-06-01'",
+    "flt_date_zoneless": "created_at >= TIMESTAMP '1997-06-01 12:30:00'",
+    "flt_date_slashes": "created_at < TIMESTAMP '1997-06-01'",
+    "flt_date_day_first": "created_at >= TIMESTAMP '1998-02-15'",
+    "flt_date_unreadable": "true",
+    "flt_empty": "true",
+    "flt_array_is_null": "false",
+    "flt_array_is_not_null": "true",
+    "flt_array_is_empty": "len(labels) = 0",
+    "flt_not_in_array": "NOT list_has_any(labels, ['promo', 'small'])",
+    "flt_ne_array": "NOT list_contains(components, 'Brand#12')",
     "flt_unknown_field": "true",
     "flt_conj": "split_part(key, '-', 1) = 'ASIA' AND status = 'In Progress' AND priority = 'Critical' AND list_contains(labels, 'promo')",
     "flt_or": "(split_part(key, '-', 1) IN ('ASIA', 'EUROPE') AND priority = 'Low') OR key = 'AFRICA-1'",
@@ -62,16 +92,17 @@ FILTERS_SQL = {
 def _filter(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         issues = tables.order_issues(spark, d, name in _NEEDS_ARRAYS)
-        return filterlang.apply(issues, FILTERS[name], ordered=False).select("ord", "key", "status", "priority")
+        return filterlang.apply(issues, (FILTERS | RELATIVE)[name], NOW, ordered=False).select("ord", "key", "status", "priority")
 
     return run
 
 
-ORDERS = {"ord_priority": ("priority", False), "ord_created_desc": ("created", True), "ord_status": ("status", False)}
+ORDERS = {"ord_priority": ("priority", False), "ord_created_desc": ("created", True), "ord_status": ("status", False), "ord_other": ("summary", True)}
 ORDERS_SQL = {
     "ord_priority": "CASE priority WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 3 ELSE 99 END, ord",
     "ord_created_desc": "created DESC, ord",
     "ord_status": "status, ord",
+    "ord_other": "ord",
 }
 
 
@@ -101,6 +132,11 @@ def _index(spark: SparkSession, d: str) -> textindex.TextIndex:
     return textindex.build(tables.documents(spark, d))
 
 
+def txt_document(spark: SparkSession, d: str) -> DataFrame:
+    """The searchable text of a ticket."""
+    return textindex.document_text(tables.order_issues(spark, d)).select("key", "text")
+
+
 def txt_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens with their places, counted a document: n tokens, n different, and the first."""
     t = tables.documents(spark, d).withColumn("t", textindex.tokens(F.col("text")))
@@ -394,10 +430,10 @@ SELECT key, status, rank FROM al WHERE {_ALLOWED}""",
 }
 
 QUERIES: dict[str, Query] = (
-    {n: _filter(n) for n in FILTERS}
+    {n: _filter(n) for n in FILTERS | RELATIVE}
     | {n: _ordered(n) for n in ORDERS}
-    | {f"dom_{f}": _domain(f) for f in ("assignee", "labels", "components")}
-    | {f.__name__: f for f in (cnt_filtered, txt_tokens, txt_tf, txt_idf, txt_norm, txt_search, txt_search_batch, txt_similar, txt_similar_batch, hyb_rank, acl_matrix, acl_reasons, acl_redact, acl_summary, route_batch)}
+    | {f"dom_{f}": _domain(f) for f in ("assignee", "labels", "components", "status", "summary")}
+    | {f.__name__: f for f in (cnt_filtered, txt_document, txt_tokens, txt_tf, txt_idf, txt_norm, txt_search, txt_search_batch, txt_similar, txt_similar_batch, hyb_rank, acl_matrix, acl_reasons, acl_redact, acl_summary, route_batch)}
     | {f.__name__: f for f in (val_keys, val_unknown, val_unretrieved, val_counts, val_status, val_priority, val_assignee, val_verdict)}
     | {"gnd_list": _grounded("list"), "gnd_count": _grounded("count"), "gnd_detail": _grounded("detail"), "ans_status_summary": ans_status_summary, "ans_first5": ans_first5}
     | {n: _pipe(q) for n, q in PIPE.items()}
@@ -405,13 +441,16 @@ QUERIES: dict[str, Query] = (
 
 _W = f"WITH {tables.ISSUES_SQL}\n"
 SQL: dict[str, str] = (
-    {n: f"{_W}SELECT ord, key, status, priority FROM iss WHERE {w}" for n, w in FILTERS_SQL.items()}
+    {n: f"{_W}SELECT ord, key, status, priority FROM iss WHERE {w}" for n, w in (FILTERS_SQL | RELATIVE_SQL).items()}
     | {n: f"{_W}SELECT row_number() OVER (ORDER BY {o}) AS pos, key FROM iss" for n, o in ORDERS_SQL.items()}
     | {
+        "dom_status": "SELECT unnest([" + ", ".join(f"'{v}'" for v in tables.DOMAINS.statuses) + "]) AS value",
+        "dom_summary": "SELECT '' AS value WHERE false",
         "dom_assignee": f"{_W}SELECT DISTINCT assignee AS value FROM iss WHERE assignee IS NOT NULL",
         "dom_labels": f"{_W}SELECT DISTINCT unnest(labels) AS value FROM iss",
         "dom_components": f"{_W}SELECT DISTINCT unnest(components) AS value FROM iss",
         "cnt_filtered": f"{_W}SELECT count(*) AS n FROM iss WHERE split_part(key, '-', 1) = 'EUROPE' AND priority = 'High'",
+        "txt_document": f"{_W}SELECT key, lower(concat_ws(' ', key, summary, coalesce(description, ''), status, priority, type, array_to_string(labels, ' '), array_to_string(components, ' '), assignee, 'Please hurry')) AS text FROM iss",
         "txt_tokens": f"WITH {TEXT_SQL}\nSELECT key, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, coalesce(t[1], '') AS first_token FROM tok",
         "txt_tf": f"WITH {TEXT_SQL}\nSELECT key, term, tf FROM tf",
         "txt_idf": f"WITH {TEXT_SQL}\nSELECT term, df, round(idf, 6) AS idf FROM idf",
