@@ -1,18 +1,24 @@
 """TF-IDF cosine search over an inverted index held as DataFrames.
 
-Weights are term count times ln(N / df), unsmoothed, so a term of every document weighs nothing. A query reaches only the postings of
-its own terms through an equi-join; norms are computed once. Scores are compared unrounded with the threshold, then rounded to
-four places and ranked; ties keep document order.
+Weights are term count times ln(N / df), unsmoothed, so a term of every document weighs nothing. Scores are compared unrounded with the
+threshold, then rounded to four places and ranked; ties keep document order.
+
+`store` writes the index once: postings, with their weight and their document's norm, sorted by term over range partitions, so that a query
+reads the row groups of its own terms and nothing else; a term of very many documents lies in several partitions. `build` is the same index
+as a plan that is computed when it is read, for small corpora.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.columns import tokens
+from sieveline.functions.storage import written
 
 NO_TERMS = "Query produced no searchable terms"
 
@@ -28,43 +34,92 @@ def document_text(issues: DataFrame) -> DataFrame:
 @dataclass
 class TextIndex:
     docs: DataFrame  # ord, key
-    postings: DataFrame  # key, ord, term, tf, weight
+    counts: DataFrame  # key, ord, term, tf: by document
+    postings: DataFrame  # key, ord, term, tf, weight, norm: by term
     idf: DataFrame  # term, df, idf
     norms: DataFrame  # key, norm
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(key, ord, term, tf)."""
-    return docs.select("key", "ord", F.explode(tokens(F.col("text"))).alias("term")).groupBy("key", "ord", "term").agg(F.count("*").alias("tf"))
+    """(key, ord, term, tf). Counted inside each row, as runs of its sorted terms, so nothing is exchanged."""
+    t = F.col("_t")
+    begins = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+    rows = docs.select("key", "ord", F.array_sort(tokens(F.col("text"))).alias("_t")).filter(F.size("_t") > 0).withColumn("_b", begins)
+    ends = F.concat(F.slice("_b", F.lit(2), F.size("_b")), F.array(F.size("_t")))
+    runs = F.zip_with("_b", ends, lambda a, b: F.struct(F.get(t, a).alias("term"), (b - a).cast("long").alias("tf")))
+    return rows.select("key", "ord", F.inline(runs))
 
 
 def inverse_frequencies(counts: DataFrame, docs: DataFrame) -> DataFrame:
     """(term, df, idf). The number of documents is one row and joins by broadcast."""
-    n = docs.agg(F.countDistinct("key").alias("n"))
+    n = docs.agg(F.count("*").alias("n"))
     return counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 
+def weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    return counts.join(idf, "term").select("key", "ord", "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
+
+
+def lengths(weighted: DataFrame) -> DataFrame:
+    """(key, norm)."""
+    return weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+
+
 def build(docs: DataFrame) -> TextIndex:
-    """docs: ord, key (unique), text. The counts are used by every part, so callers with many queries should `persist` the index."""
+    """docs: ord, key (unique), text. The counts are used by every part, so callers with many queries should `persist` or `store` the index."""
     counts = term_counts(docs)
     idf = inverse_frequencies(counts, docs)
-    postings = counts.join(idf, "term").select("key", "ord", "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
-    norms = postings.groupBy("key").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return TextIndex(docs.select("ord", "key"), postings, idf, norms)
+    weighted = weights(counts, idf)
+    norms = lengths(weighted)
+    return TextIndex(docs.select("ord", "key"), counts, weighted.join(norms, "key"), idf, norms)
 
 
 def persist(index: TextIndex) -> TextIndex:
     """Keeps postings, weights and norms on the executors (memory, then disk) for repeated queries."""
-    return TextIndex(index.docs, index.postings.persist(), index.idf.persist(), index.norms.persist())
+    return TextIndex(index.docs, index.counts, index.postings.persist(), index.idf.persist(), index.norms.persist())
+
+
+def store(docs: DataFrame, path: str) -> TextIndex:
+    """`build`, each part written below path once and read from there: counts in document order with a Bloom filter over keys, the rest by term."""
+    part = lambda df, name, **options: written(df, f"{path}/{name}", **options)
+    counts = part(term_counts(docs), "counts", **{"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
+    idf = part(inverse_frequencies(counts, docs).repartitionByRange("term").sortWithinPartitions("term"), "idf")
+    weighted = weights(counts, idf)
+    norms = part(lengths(weighted), "norms")
+    postings = part(weighted.join(norms, "key").repartitionByRange("term", "ord").sortWithinPartitions("term", "ord"), "postings")
+    return TextIndex(docs.select("ord", "key"), counts, postings, idf, norms)
 
 
 def similarities(index: TextIndex, query_terms: DataFrame) -> DataFrame:
     """(query_id, key, ord, score) of pairs that share a weighted term. query_terms: query_id, term, tf."""
     q = query_terms.join(index.idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("q_weight"))
     q_norms = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q_weight") * F.col("q_weight"))).alias("q_norm"))
-    dots = index.postings.join(q, "term").groupBy("query_id", "key", "ord").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("dot"))
-    scored = dots.join(q_norms, "query_id").join(index.norms, "key")
-    return scored.filter((F.col("q_norm") > 0) & (F.col("norm") > 0)).select("query_id", "key", "ord", (F.col("dot") / (F.col("q_norm") * F.col("norm"))).alias("score"))
+    return _cosines(index.postings.join(q, "term"), q_norms)
+
+
+def _cosines(matched: DataFrame, q_norms: DataFrame) -> DataFrame:
+    dots = matched.groupBy("query_id", "key", "ord").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("dot"), F.first("norm").alias("norm"))
+    scored = dots.join(q_norms, "query_id").filter((F.col("q_norm") > 0) & (F.col("norm") > 0))
+    return scored.select("query_id", "key", "ord", (F.col("dot") / (F.col("q_norm") * F.col("norm"))).alias("score"))
+
+
+#: Up to this many terms of one query are written into the scan's filter; beyond it a join finds them.
+FILTER_TERMS = 1000
+
+
+def similarities_to(index: TextIndex, text: str) -> DataFrame:
+    """`similarities` for one query, whose terms (as many as its text has) come to the driver, so that the scan skips all other postings."""
+    spark = index.docs.sparkSession
+    asked = spark.createDataFrame([(0, text)], "query_id int, text string")
+    tf = Counter(spark.range(1).select(tokens(F.lit(text)).alias("t")).first()["t"])
+    if len(tf) > FILTER_TERMS:
+        return similarities(index, query_terms(asked))
+    among = F.col("term").isin(list(tf))
+    known = index.idf.filter(among).select("term", "idf").collect()
+    q = [(0, r["term"], tf[r["term"]] * r["idf"]) for r in known]
+    q_rows = spark.createDataFrame(q, "query_id int, term string, q_weight double")
+    q_norm = spark.createDataFrame([(0, math.sqrt(sum(w * w for _, _, w in q)))], "query_id int, q_norm double")
+    return _cosines(index.postings.filter(among).join(F.broadcast(q_rows), "term"), F.broadcast(q_norm))  # at most FILTER_TERMS rows
 
 
 def ranked(scored: DataFrame, top_k: int | Column, min_score: float) -> DataFrame:
@@ -91,10 +146,9 @@ def search_batch(index: TextIndex, queries: DataFrame, top_k: int = 5, min_score
 def search(index: TextIndex, text: str, top_k: int = 5, min_score: float = 0.1) -> DataFrame:
     """(key, ord, score, rank) for one query; a limit on the sorted scores rather than a window."""
     spark = index.docs.sparkSession
-    queries = spark.createDataFrame([(0, text)], "query_id int, text string")
-    found = similarities(index, query_terms(queries))
+    found = similarities_to(index, text)
     if min_score <= 0:
-        some = query_terms(queries).limit(1).select(F.lit(1).alias("any"))
+        some = query_terms(spark.createDataFrame([(0, text)], "query_id int, text string")).limit(1).select(F.lit(1).alias("any"))
         found = index.docs.join(found.select("key", "score"), "key", "left").crossJoin(F.broadcast(some)).select("key", "ord", F.coalesce("score", F.lit(0.0)).alias("score"))
     best = found.filter(F.col("score") >= min_score).select("key", "ord", F.round("score", 4).alias("score")).orderBy(F.col("score").desc(), F.col("ord")).limit(top_k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("ord"))))  # at most top_k rows
@@ -102,7 +156,7 @@ def search(index: TextIndex, text: str, top_k: int = 5, min_score: float = 0.1)
 
 def similar(index: TextIndex, key: str, top_k: int = 3, min_score: float = 0.1) -> DataFrame:
     """(key, ord, score, rank): the document's own postings as the query, itself left out."""
-    own = index.postings.filter(F.col("key") == key).select(F.lit(0).alias("query_id"), "term", "tf")
+    own = index.counts.filter(F.col("key") == key).select(F.lit(0).alias("query_id"), "term", "tf")
     first = ranked(similarities(index, own), top_k + 1, min_score).filter(F.col("key") != key)
     again = Window.orderBy("rank")  # at most top_k + 1 rows
     return first.withColumn("rank", F.row_number().over(again)).filter(F.col("rank") <= top_k).drop("query_id")
@@ -110,7 +164,7 @@ def similar(index: TextIndex, key: str, top_k: int = 3, min_score: float = 0.1)
 
 def similar_batch(index: TextIndex, keys: DataFrame, top_k: int = 3, min_score: float = 0.1) -> DataFrame:
     """(query_id, key, ord, score, rank): `similar` for all documents in keys (key) in one plan; query_id is the document's key."""
-    own = index.postings.join(keys.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("query_id"), "term", "tf")
+    own = index.counts.join(keys.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("query_id"), "term", "tf")
     return ranked(similarities(index, own).filter("query_id <> key"), top_k, min_score)
 
 

@@ -5,7 +5,7 @@ Retrieval and access are lazy plans; only the rows of one answer (all permitted
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +26,13 @@ def hybrid(issues: DataFrame, index: textindex.TextIndex, filter_text: str, sear
     """
     q = filterlang.parse(filter_text)
     kept = issues.filter(filterlang.compile_tree(q.where))
-    terms = textindex.query_terms(issues.sparkSession.createDataFrame([(0, search_text)], "query_id int, text string"))
-    scored = textindex.similarities(index, terms)
+    scored = textindex.similarities_to(index, search_text)
     if rank_scope == "filtered":
         scored = scored.join(kept.select("key"), "key", "left_semi")
-    best = scored.filter(F.col("score") >= min_score).select("key", "ord", F.round("score", 4).alias("score")).persist()
-    size = kept.count()
-    if best.count() > size:
-        best = best.orderBy(F.col("score").desc(), "ord").limit(size)
-    order = [F.col("score").desc_nulls_last(), F.when(F.col("score").isNotNull(), F.col("ord")).asc_nulls_last(), *filterlang.sort_keys(q.order_field, q.descending)]
-    return numbered(kept.join(best.select("key", "score"), "key", "left"), order)
+    best = scored.filter(F.col("score") >= min_score).select("key", "ord", F.round("score", 4).alias("score"))
+    hits = numbered(best, [F.col("score").desc(), F.col("ord")], "hit").filter(F.col("hit") <= kept.count())
+    order = [F.col("hit").asc_nulls_last(), *filterlang.sort_keys(q.order_field, q.descending)]
+    return numbered(kept.join(hits.select("key", "score", "hit"), "key", "left"), order).drop("hit")
 
 
 @dataclass
@@ -62,11 +59,11 @@ class Answer:
 
 class Assistant:
     """strict: keys of other rows in an answer are errors. fallback: a filter that can't be read becomes a search. tell_hidden: warn of hidden rows.
-    access_first: filter before the best hits are cut off."""
+    access_first: filter before the best hits are cut off. index: one made before, such as a stored one; without it the corpus is indexed anew."""
 
-    def __init__(self, corpus: Corpus, profiles: DataFrame, route_domains: Domains = DEFAULT_DOMAINS, strict: bool = False, fallback: bool = False, tell_hidden: bool = True, rank_scope: str = "all", access_first: bool = False):
+    def __init__(self, corpus: Corpus, profiles: DataFrame, route_domains: Domains = DEFAULT_DOMAINS, strict: bool = False, fallback: bool = False, tell_hidden: bool = True, rank_scope: str = "all", access_first: bool = False, index: textindex.TextIndex | None = None):
         self.issues, self.domains, self.profiles = corpus.issues, corpus.domains, profiles
-        self.index = textindex.persist(textindex.build(textindex.document_text(corpus.issues)))
+        self.index = index or textindex.persist(textindex.build(textindex.document_text(corpus.issues)))
         self.route_domains, self.strict, self.fallback, self.tell_hidden, self.rank_scope, self.access_first = route_domains, strict, fallback, tell_hidden, rank_scope, access_first
 
     @classmethod
@@ -83,7 +80,7 @@ class Assistant:
             return numbered(issues.filter(filterlang.compile_tree(q.where)), filterlang.sort_keys(q.order_field, q.descending))
         index = self.index
         if visible is not None:
-            index = textindex.TextIndex(index.docs, index.postings.join(visible.select("key"), "key", "left_semi"), index.idf, index.norms)
+            index = replace(index, postings=index.postings.join(visible.select("key"), "key", "left_semi"))
         hits = textindex.search(index, search_text, SEMANTIC_TOP_K)
         return self.issues.join(F.broadcast(hits.select("key", "score", "rank")), "key")  # at most SEMANTIC_TOP_K rows
 

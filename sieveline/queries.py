@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.functions import storage
 from sieveline.functions.columns import STOPWORDS
 from sieveline.functions.ranking import numbered
 from sieveline.operators import access, filterlang, grounding, textindex
@@ -128,8 +129,18 @@ SEARCH_TEXT = "apache license version copyright permission software warranty"
 SIMILAR_TO = "EN-1"
 
 
-def _index(spark: SparkSession, d: str) -> textindex.TextIndex:
-    return textindex.build(tables.documents(spark, d))
+_STORED: dict[tuple, tuple[str, textindex.TextIndex]] = {}
+
+
+def stored_index(spark: SparkSession, d: str) -> textindex.TextIndex:
+    """The index of the documents, written to the shared folder once an application and table, as the original builds its own once a process."""
+    at = spark.sparkContext.applicationId, storage.version(spark, f"{d}/documents.parquet")
+    path, index = _STORED.get(at, (None, None))
+    if index is None or not storage.exists(spark, f"{path}/postings/_SUCCESS"):
+        path = storage.shared_path(spark, "text-index")
+        index = textindex.store(tables.documents(spark, d), path)
+        _STORED[at] = path, index
+    return index
 
 
 def txt_document(spark: SparkSession, d: str) -> DataFrame:
@@ -153,27 +164,27 @@ def txt_idf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def txt_norm(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).norms.select("key", F.round("norm", 4).alias("norm"))
+    return textindex.build(tables.documents(spark, d)).norms.select("key", F.round("norm", 4).alias("norm"))
 
 
 def txt_search(spark: SparkSession, d: str) -> DataFrame:
-    return textindex.search(_index(spark, d), SEARCH_TEXT, 10, 0.05).select("key", "score", "rank")
+    return textindex.search(stored_index(spark, d), SEARCH_TEXT, 10, 0.05).select("key", "score", "rank")
 
 
 def txt_search_batch(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark text as a query against all documents: the best five."""
     questions = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return textindex.search_batch(_index(spark, d), questions).select("query_id", "key", "score", "rank")
+    return textindex.search_batch(stored_index(spark, d), questions).select("query_id", "key", "score", "rank")
 
 
 def txt_similar(spark: SparkSession, d: str) -> DataFrame:
-    return textindex.similar(_index(spark, d), SIMILAR_TO, 10).select("key", "score", "rank")
+    return textindex.similar(stored_index(spark, d), SIMILAR_TO, 10).select("key", "score", "rank")
 
 
 def txt_similar_batch(spark: SparkSession, d: str) -> DataFrame:
     """Every document whose id is divisible by 20 as a query against all documents: the best ten others."""
     keys = tables.documents(spark, d).filter(F.col("ord") % 20 == 0)
-    return textindex.similar_batch(_index(spark, d), keys, 10).select("query_id", "key", "score", "rank")
+    return textindex.similar_batch(stored_index(spark, d), keys, 10).select("query_id", "key", "score", "rank")
 
 
 _STOPS = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -207,7 +218,7 @@ HYBRID = ("status = Done AND labels != toxic ORDER BY key", "license version sof
 
 
 def hyb_rank(spark: SparkSession, d: str) -> DataFrame:
-    return assistant.hybrid(tables.document_issues(spark, d), _index(spark, d), *HYBRID).select("key", F.col("score"), F.col("rank"))
+    return assistant.hybrid(tables.document_issues(spark, d), stored_index(spark, d), *HYBRID).select("key", F.col("score"), F.col("rank"))
 
 
 HYB_SQL = _search_sql(_terms_sql(HYBRID[1]), 1 << 40, 0.1).replace("SELECT {} FROM rk WHERE", "").rsplit("\n", 1)[0] + f""",{tables.DOCUMENT_ISSUES_SQL},
@@ -408,7 +419,7 @@ def _pipe(question: str) -> Query:
         issues = tables.document_issues(spark, d)
         a = assistant.Assistant.__new__(assistant.Assistant)
         a.issues, a.rank_scope = issues, "all"
-        a.index = _index(spark, d) if r.mode != router.Mode.JQL else None
+        a.index = stored_index(spark, d) if r.mode != router.Mode.JQL else None
         found = a.retrieve(r.mode, r.jql_query, r.semantic_query)
         return access.redacted(access.for_user(found, "reader", profile)).select("key", "status", F.col("rank").cast("long").alias("rank"))
 

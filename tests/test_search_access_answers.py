@@ -53,6 +53,29 @@ def test_search_equals_brute_force(spark, world):
     assert [r["rank"] for r in textindex.search(a.index, "zzz", 3, 0.0).collect()] == [1, 2, 3]  # zero scores count at no threshold
 
 
+def test_a_stored_index_gives_the_same(spark, world, tmp_path, monkeypatch):
+    corpus, profiles, a = world
+    index = textindex.store(textindex.document_text(corpus.issues), str(tmp_path / "index"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for query in ("database login performance", "disk disk full", "zzz", ""):
+        want = rows(textindex.search(a.index, query, 4, 0.05))
+        assert rows(textindex.search(index, query, 4, 0.05)) == want
+        with monkeypatch.context() as m:
+            m.setattr(textindex, "FILTER_TERMS", 1)
+            assert rows(textindex.search(index, query, 4, 0.05)) == want
+    assert rows(textindex.similar(index, "OPS-3", 2)) == rows(textindex.similar(a.index, "OPS-3", 2))
+    plan = index.postings.filter("term = 'disk'")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,disk)]" in plan
+    b = assistant.Assistant(corpus, profiles, a.route_domains, index=index)
+    assert b.ask("bugs related to login", "boss").to_dict() == a.ask("bugs related to login", "boss").to_dict()
+
+
+def test_terms_are_counted_in_their_row(spark):
+    rows = [(0, "A-1", "disk full disk the x"), (1, "A-2", None), (2, "A-3", ""), (3, "A-4", "the of"), (4, "A-5", "zz yy zz " * 500)]
+    got = {(r["key"], r["term"]): r["tf"] for r in textindex.term_counts(spark.createDataFrame(rows, "ord long, key string, text string")).collect()}
+    assert got == {("A-1", "disk"): 2, ("A-1", "full"): 1, ("A-5", "zz"): 1000, ("A-5", "yy"): 500}
+
+
 def test_similar_leaves_itself_out(world):
     _, _, a = world
     out = textindex.run_similar(a.index, "OPS-3", 2)
