@@ -16,31 +16,38 @@ KEY = r"\b([A-Z]{2,10}-\d{1,6})\b"
 COUNT_CLAIMS = (r"(\d+)\s+issues?\b", r"(\d+)\s+tickets?\b", r"there\s+are\s+(\d+)", r"found\s+(\d+)", r"total\s+of\s+(\d+)")
 ASSIGNED = r"assigned\s+to\s+([A-Za-z\s]+?)(?:\.|,|$)"
 
-ERROR = "answer_id", "kind", "key", "claimed", "actual", "message"
-
-
 def mentions(answers: DataFrame) -> DataFrame:
     """(answer_id, key, text): each key once an answer."""
     keys = F.array_distinct(F.regexp_extract_all("text", F.lit("(?U)" + KEY), F.lit(1)))
     return answers.select("answer_id", "text", F.explode(keys).alias("key"))
 
 
-def _error(kind: str, key: Column, claimed: Column, actual: Column, message: Column) -> list[Column]:
+def _error(kind: str, key: Column, claimed: Column, actual: Column, message: Column) -> Column:
     s = lambda c: c.cast("string")
-    return [F.col("answer_id"), F.lit(kind).alias("kind"), s(key).alias("key"), s(claimed).alias("claimed"), s(actual).alias("actual"), message.alias("message")]
+    return F.struct(F.lit(kind).alias("kind"), s(key).alias("key"), s(claimed).alias("claimed"), s(actual).alias("actual"), message.alias("message"))
+
+
+def _rows(rows: DataFrame, *errors: Column) -> DataFrame:
+    """answer_id and the errors of each row. errors: arrays, null elements are none."""
+    return rows.select("answer_id", F.inline(F.filter(F.concat(*errors), lambda e: e.isNotNull())))
+
+
+def _unknown() -> Column:
+    return _error("key", F.col("key"), F.col("key"), F.lit(None), F.format_string("Hallucinated issue key: %s does not exist", "key"))
+
+
+def _unretrieved() -> Column:
+    return _error("unretrieved", F.col("key"), F.col("key"), F.lit(None), F.format_string("Issue %s mentioned but not in retrieved results", "key"))
 
 
 def unknown_keys(answers: DataFrame, corpus: DataFrame) -> DataFrame:
-    found = mentions(answers).join(corpus.select("key"), "key", "left_anti")
-    none = F.lit(None)
-    return found.select(*_error("key", F.col("key"), F.col("key"), none, F.format_string("Hallucinated issue key: %s does not exist", "key")))
+    return _rows(mentions(answers).join(corpus.select("key"), "key", "left_anti"), F.array(_unknown()))
 
 
 def unretrieved_keys(answers: DataFrame, corpus: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Warnings, or errors for a strict caller: keys that exist but are not among the answer's rows."""
     found = mentions(answers).join(corpus.select("key"), "key", "left_semi").join(retrieved.select("answer_id", "key"), ["answer_id", "key"], "left_anti")
-    none = F.lit(None)
-    return found.select(*_error("unretrieved", F.col("key"), F.col("key"), none, F.format_string("Issue %s mentioned but not in retrieved results", "key")))
+    return _rows(found, F.array(_unretrieved()))
 
 
 def wrong_counts(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -53,58 +60,70 @@ def wrong_counts(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
     number = F.regexp_replace("n", "^0+(?=.)", "")
     wrong = both.withColumn("n", number).filter(F.col("n") != F.col("actual").cast("string"))
     message = F.format_string("Count mismatch: response claims %s but retrieved %d", "n", "actual")
-    return wrong.select(*_error("count", F.lit(None), F.col("n"), F.col("actual"), message))
+    return _rows(wrong, F.array(_error("count", F.lit(None), F.col("n"), F.col("actual"), message)))
 
 
-def _tails(answers: DataFrame, retrieved: DataFrame, *columns: str) -> DataFrame:
-    """answer_id, key, columns, tails: for a mentioned and retrieved key, what follows its occurrences, from the key's last character on.
+def _tails() -> Column:
+    """What follows the occurrences of a row's key in its text, from the key's last character on, up to the line's end for claims on one line.
 
-    The key is sought ignoring case and as a plain part, as in `AB-1` within `AB-12`. Up to the line's end for claims on one line.
+    The key is sought ignoring case and as a plain part, as in `AB-1` within `AB-12`.
     """
-    rows = mentions(answers).join(retrieved.select("answer_id", "key", *columns), ["answer_id", "key"])
-    lines = F.split("text", "\n")
     at = lambda line: F.instr(F.lower(line), F.lower("key"))
     tail = lambda line: F.substring(line, at(line) + F.length("key") - 1, F.length(line))
-    return rows.withColumn("tails", F.transform(F.filter(lines, lambda x: at(x) > 0), tail)).drop("text")
+    return F.transform(F.filter(F.split("text", "\n"), lambda x: at(x) > 0), tail)
 
 
-def _wrong_values(answers: DataFrame, retrieved: DataFrame, column: str, values: tuple[str, ...], kind: str) -> DataFrame:
+def _wrong_values(column: str, values: tuple[str, ...]) -> Column:
     # from the key's last character on, so that a word right behind the key is no word of its own
     says = lambda v: F.exists("tails", lambda t: t.rlike(rf"(?iU)^.[^\n]*?\b\Q{v}\E\b"))
-    claims = F.filter(F.array(*[F.when(says(v), F.lit(v)) for v in values]), lambda x: x.isNotNull())
-    wrong = _tails(answers, retrieved, column).select("answer_id", "key", column, F.explode(claims).alias("claimed")).filter(F.lower("claimed") != F.lower(F.col(column)))
-    message = F.format_string(kind.capitalize() + " mismatch for %s: claimed '%s' but actual is '%s'", "key", "claimed", column)
-    return wrong.select(*_error(kind, F.col("key"), F.col("claimed"), F.col(column), message))
+    message = lambda v: F.format_string(column.capitalize() + " mismatch for %s: claimed '%s' but actual is '%s'", "key", F.lit(v), column)
+    wrong = lambda v: F.when((F.lower(F.lit(v)) != F.lower(F.col(column))) & says(v), _error(column, F.col("key"), F.lit(v), F.col(column), message(v)))
+    return F.array(*map(wrong, values))
+
+
+def _assigned() -> Column:
+    """What the text says behind the row's key of who has it: empty if nothing; the name may run over lines."""
+    pattern = F.concat(F.lit(r"(?iUd)\Q"), F.col("key"), F.lit(r"\E.*?" + ASSIGNED))
+    return F.when(F.col("text").rlike(r"(?iU)assigned\s+to\s"), F.call_function("regexp_extract", F.col("text"), pattern, F.lit(1))).otherwise("")
+
+
+def _wrong_assignee() -> Column:
+    """The first `assigned to NAME` behind the key must be part of the actual name. Needs `assigned`."""
+    claimed, actual = stripped(F.col("assigned")), F.col("assignee")
+    message = F.when(actual.isNull(), F.format_string("Assignee mismatch for %s: claimed '%s' but issue is unassigned", "key", claimed)).otherwise(
+        F.format_string("Assignee mismatch for %s: claimed '%s' but actual is '%s'", "key", claimed, "assignee")
+    )
+    wrong = (F.col("assigned") != "") & (actual.isNull() | ~F.contains(F.lower(actual), F.lower(claimed)))
+    return F.when(wrong, _error("assignee", F.col("key"), claimed, F.coalesce(actual, F.lit("Unassigned")), message))
+
+
+def _claims(answers: DataFrame, retrieved: DataFrame, *columns: str) -> DataFrame:
+    return mentions(answers).join(retrieved.select("answer_id", "key", *columns), ["answer_id", "key"])
 
 
 def wrong_statuses(answers: DataFrame, retrieved: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
-    return _wrong_values(answers, retrieved, "status", statuses, "status")
+    return _rows(_claims(answers, retrieved, "status").withColumn("tails", _tails()), _wrong_values("status", statuses))
 
 
 def wrong_priorities(answers: DataFrame, retrieved: DataFrame, priorities: tuple[str, ...]) -> DataFrame:
-    return _wrong_values(answers, retrieved, "priority", priorities, "priority")
+    return _rows(_claims(answers, retrieved, "priority").withColumn("tails", _tails()), _wrong_values("priority", priorities))
 
 
 def wrong_assignees(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """The first `assigned to NAME` behind the key on its line must be part of the actual name; the name may run over lines."""
-    rows = mentions(answers).join(retrieved.select("answer_id", "key", "assignee"), ["answer_id", "key"])
-    pattern = F.concat(F.lit(r"(?iUd)\Q"), F.col("key"), F.lit(r"\E.*?" + ASSIGNED))
-    rows = rows.withColumn("claimed", stripped(F.call_function("regexp_extract", F.col("text"), pattern, F.lit(1)))).filter(F.regexp_like("text", pattern))
-    wrong = rows.filter(F.col("assignee").isNull() | ~F.contains(F.lower("assignee"), F.lower("claimed")))
-    message = F.when(F.col("assignee").isNull(), F.format_string("Assignee mismatch for %s: claimed '%s' but issue is unassigned", "key", "claimed")).otherwise(
-        F.format_string("Assignee mismatch for %s: claimed '%s' but actual is '%s'", "key", "claimed", "assignee")
-    )
-    return wrong.select(*_error("assignee", F.col("key"), F.col("claimed"), F.coalesce("assignee", F.lit("Unassigned")), message))
+    return _rows(_claims(answers, retrieved, "assignee").withColumn("assigned", _assigned()), F.array(_wrong_assignee()))
 
 
 def errors(answers: DataFrame, retrieved: DataFrame, corpus: DataFrame, statuses: tuple[str, ...], priorities: tuple[str, ...], strict: bool = False) -> DataFrame:
-    parts = [unknown_keys(answers, corpus), wrong_counts(answers, retrieved), wrong_statuses(answers, retrieved, statuses), wrong_priorities(answers, retrieved, priorities), wrong_assignees(answers, retrieved)]
+    """All checks: each mention meets the corpus and its answer's rows once, and its errors are one array. Rows of retrieved are unique by answer and key."""
+    here = F.lit(True)
+    known = corpus.select("key", here.alias("known")).distinct()
+    rows = mentions(answers).join(known, "key", "left").join(retrieved.select("answer_id", "key", "status", "priority", "assignee", here.alias("given")), ["answer_id", "key"], "left")
+    known, given = F.col("known").isNotNull(), F.col("given").isNotNull()
+    rows = rows.withColumns({"tails": F.when(given, _tails()), "assigned": F.when(given, _assigned()).otherwise("")})
+    per_key = [F.when(~known, _unknown()), _wrong_assignee()]
     if strict:
-        parts.append(unretrieved_keys(answers, corpus, retrieved))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        per_key.append(F.when(known & ~given, _unretrieved()))
+    return _rows(rows, F.array(*per_key), _wrong_values("status", statuses), _wrong_values("priority", priorities)).union(wrong_counts(answers, retrieved))
 
 
 def verdicts(answers: DataFrame, found: DataFrame) -> DataFrame:
