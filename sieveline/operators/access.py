@@ -23,12 +23,25 @@ def deny_reason(user_known: Column) -> Column:
     )
 
 
+#: Users up to this number are broadcast; more are dealt to blocks of as many and joined.
+BROADCAST_USERS = 10_000
+#: Parts of the issues that meet a block of users, so that no block is one task's work.
+PARTS = 64
+
+
 def decide(issues: DataFrame, users: DataFrame, profiles: DataFrame) -> DataFrame:
-    """issues x users with user_id, deny_reason and can_view_comments. Users (asked for) and profiles are one small row a user; both sides of
-    the result are wanted, so the users are broadcast and the issues are not moved."""
+    """issues x users with user_id, deny_reason and can_view_comments: by definition a row for each pair. Users asked for that fit a broadcast
+    leave the issues where they are; beyond that both sides are dealt to (block of users, part of issues) and joined on it."""
     known = profiles.withColumn("known", F.lit(True))
     asked = users.select("user_id").distinct().join(known, "user_id", "left")
-    both = issues.crossJoin(F.broadcast(asked))
+    n = users.count()
+    if n <= BROADCAST_USERS:
+        both = issues.crossJoin(F.broadcast(asked))
+    else:
+        blocks, each = -(-n // BROADCAST_USERS), lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        left = issues.withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")).withColumn("_block", each(blocks))
+        right = asked.withColumn("_block", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int")).withColumn("_part", each(PARTS))
+        both = left.join(right, ["_block", "_part"]).drop("_block", "_part")
     return both.withColumn("deny_reason", deny_reason(F.coalesce("known", F.lit(False)))).drop("known", "projects", "can_view_all_issues", "viewable_components", "restricted_labels")
 
 

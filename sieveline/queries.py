@@ -14,6 +14,7 @@ from sieveline.functions.ranking import numbered
 from sieveline.operators import access, filterlang, grounding, textindex
 from sieveline.plans import assistant, router
 from sieveline.sources import tables
+from sieveline.sources.issues import Corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -400,30 +401,36 @@ _BULLET = "'• **' || key || '**: ' || summary || ' [' || status || ']'"
 # ---- the whole way
 
 
-def _corpus(spark: SparkSession, d: str):
-    from sieveline.sources.issues import Corpus
-
-    return Corpus(tables.document_issues(spark, d), tables.DOMAINS)
-
-
 _ROUTE_DOMAINS = router.Domains(("EN", "FR", "DE", "ES"), router.DEFAULT_DOMAINS.statuses, router.DEFAULT_DOMAINS.priorities, router.DEFAULT_DOMAINS.types)
 PIPE_USER = ("reader", ("EN", "FR"), True, (), True, ("toxic",))
 
 
+def _assistant(spark: SparkSession, d: str, **options) -> assistant.Assistant:
+    """Over the documents as tickets, with their stored index, for PIPE_USER."""
+    corpus = Corpus(tables.document_issues(spark, d), tables.DOMAINS)
+    return assistant.Assistant(corpus, tables.profile_rows(spark, [PIPE_USER]), _ROUTE_DOMAINS, index=stored_index(spark, d), **options)
+
+
 def _pipe(question: str) -> Query:
-    """Route, retrieve, filter by access; rows with their rank."""
+    """Route, retrieve, filter by access, answer, check; the answer's rows with their rank."""
+    return lambda spark, d: _assistant(spark, d).ask(question, PIPE_USER[0]).issues.select("key", "status", F.col("rank").cast("long").alias("rank"))
 
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        profile = tables.with_defaults(spark.createDataFrame([tuple(list(x) if isinstance(x, tuple) else x for x in PIPE_USER)], "user_id string, projects array<string>, can_view_all_issues boolean, viewable_components array<string>, can_view_comments boolean, restricted_labels array<string>"))
-        r = router.classify(question, _ROUTE_DOMAINS)
-        issues = tables.document_issues(spark, d)
-        a = assistant.Assistant.__new__(assistant.Assistant)
-        a.issues, a.rank_scope = issues, "all"
-        a.index = stored_index(spark, d) if r.mode != router.Mode.JQL else None
-        found = a.retrieve(r.mode, r.jql_query, r.semantic_query)
-        return access.redacted(access.for_user(found, "reader", profile)).select("key", "status", F.col("rank").cast("long").alias("rank"))
 
-    return run
+#: Questions and who asks: a summary, a count, nothing to see, an unknown user, a clarification, a search.
+ASKED = (
+    ("Show done tasks in EN", "reader"), ("How many done tasks are there in FR", "reader"), ("Show done tasks in DE", "reader"), ("Show done tasks in EN", "nobody"), ("hi", "reader"),
+    ("tickets about license version software", "reader"),
+)
+
+
+def ask_answers(spark: SparkSession, d: str) -> DataFrame:
+    """What `ask` says to each of ASKED, all the way from the question to the checked text."""
+    a = _assistant(spark, d)
+    rows = []
+    for i, (question, user) in enumerate(ASKED):
+        r = a.ask(question, user)
+        rows.append((i, r.success, r.query_mode, r.jql_used, r.semantic_query, r.total_count, r.answer if r.query_mode != "clarification" else None, r.validation_passed, "; ".join(r.warnings)))
+    return spark.createDataFrame(rows, "n long, success boolean, query_mode string, jql_used string, semantic_query string, total_count long, answer string, validation_passed boolean, warnings string")
 
 
 PIPE = {"pipe_jql": "Show done tasks in EN", "pipe_semantic": "tickets about license version software", "pipe_hybrid": "low tickets about license version software"}
@@ -440,6 +447,43 @@ al AS (SELECT kept.*, row_number() OVER (ORDER BY hit NULLS LAST, ord) AS rank F
 SELECT key, status, rank FROM al WHERE {_ALLOWED}""",
 }
 
+_SHORT = "'• **' || key || '**: ' || summary || ' [' || status || ']'"
+
+
+def _asked_sql() -> str:
+    """The rows of each question (n, pos, ok: allowed), then counts and texts by the templates."""
+    rows = {
+        0: "SELECT diss.*, row_number() OVER (ORDER BY ord) AS pos FROM diss WHERE split_part(key, '-', 1) = 'EN' AND status = 'Done'",
+        1: "SELECT diss.*, row_number() OVER (ORDER BY ord) AS pos FROM diss WHERE split_part(key, '-', 1) = 'FR' AND status = 'Done'",
+        2: "SELECT diss.*, row_number() OVER (ORDER BY ord) AS pos FROM diss WHERE split_part(key, '-', 1) = 'DE' AND status = 'Done'",
+        5: "SELECT diss.*, rank AS pos FROM rk JOIN diss ON diss.key = rk.key WHERE rank <= 10",
+    }
+    rows[3] = rows[0]
+    jql = {0: "project = EN AND status = 'Done' AND type = Task", 1: "project = FR AND status = 'Done' AND type = Task", 2: "project = DE AND status = 'Done' AND type = Task"}
+    jql[3] = jql[0]
+    quoted = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    head = [
+        f"({n}, {quoted('clarification' if n == 4 else 'semantic' if n == 5 else 'jql')}, {quoted(jql.get(n))}, {quoted(ASKED[n][0] if n == 5 else None)})" for n in range(len(ASKED))
+    ]
+    got = " UNION ALL ".join(f"SELECT {n} AS n, pos, key, summary, status, {'false' if ASKED[n][1] == 'nobody' else _ALLOWED} AS ok FROM ({q})" for n, q in sorted(rows.items()))
+    return (
+        _search_sql(_terms_sql(ASKED[5][0]), 10, 0.1).rsplit("\n", 1)[0]
+        + f""",{tables.DOCUMENT_ISSUES_SQL},
+got AS ({got}),
+seen AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY pos) AS p FROM got WHERE ok),
+st AS (SELECT n, string_agg(c || ' ' || status, ', ' ORDER BY f) AS statuses FROM (SELECT n, status, count(*) AS c, min(p) AS f FROM seen GROUP BY 1, 2) GROUP BY 1),
+body AS (SELECT n, count(*) AS c, string_agg({_SHORT}, chr(10) ORDER BY p) FILTER (p <= 5) AS short, string_agg({_SHORT} || ' - Unassigned', chr(10) ORDER BY p) FILTER (p <= 5) AS whole FROM seen GROUP BY 1),
+hidden AS (SELECT n, count(*) FILTER (NOT ok) AS h FROM got GROUP BY 1),
+head(n, query_mode, jql_used, semantic_query) AS (VALUES {", ".join(head)})
+SELECT CAST(head.n AS BIGINT) AS n, true AS success, query_mode, jql_used, semantic_query, coalesce(c, 0) AS total_count,
+  CASE WHEN query_mode = 'clarification' THEN NULL WHEN c IS NULL THEN {quoted(grounding.NO_RESULT_TEXT)} WHEN head.n = 1 THEN 'There are ' || c || ' issue(s) matching your query.'
+    WHEN c <= 5 THEN 'Found ' || c || ' issue(s):' || chr(10) || whole
+    ELSE 'Found ' || c || ' issue(s) (' || statuses || '):' || chr(10) || short || chr(10) || '... and ' || (c - 5) || ' more' END AS answer,
+  true AS validation_passed, CASE WHEN coalesce(h, 0) > 0 THEN h || ' issue(s) hidden due to permissions' ELSE '' END AS warnings
+FROM head LEFT JOIN body ON body.n = head.n LEFT JOIN st ON st.n = head.n LEFT JOIN hidden ON hidden.n = head.n"""
+    )
+
+
 QUERIES: dict[str, Query] = (
     {n: _filter(n) for n in FILTERS | RELATIVE}
     | {n: _ordered(n) for n in ORDERS}
@@ -448,6 +492,7 @@ QUERIES: dict[str, Query] = (
     | {f.__name__: f for f in (val_keys, val_unknown, val_unretrieved, val_counts, val_status, val_priority, val_assignee, val_verdict)}
     | {"gnd_list": _grounded("list"), "gnd_count": _grounded("count"), "gnd_detail": _grounded("detail"), "ans_status_summary": ans_status_summary, "ans_first5": ans_first5}
     | {n: _pipe(q) for n, q in PIPE.items()}
+    | {"ask_answers": ask_answers}
 )
 
 _W = f"WITH {tables.ISSUES_SQL}\n"
@@ -495,4 +540,5 @@ SQL: dict[str, str] = (
         FROM r JOIN s ON s.answer_id = r.answer_id GROUP BY r.answer_id""",
     }
     | _PIPE_SQL
+    | {"ask_answers": _asked_sql()}
 )

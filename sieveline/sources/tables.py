@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,9 +77,13 @@ PROFILES = (
 USERS = (*(p[0] for p in PROFILES), "nobody")
 
 
-def profiles(spark: SparkSession) -> DataFrame:
+def profile_rows(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
     schema = "user_id string, projects array<string>, can_view_all_issues boolean, viewable_components array<string>, can_view_comments boolean, restricted_labels array<string>"
-    return with_defaults(spark.createDataFrame([tuple(list(x) if isinstance(x, tuple) else x for x in p) for p in PROFILES], schema))
+    return with_defaults(spark.createDataFrame([tuple(list(x) if isinstance(x, tuple) else x for x in p) for p in rows], schema))
+
+
+def profiles(spark: SparkSession) -> DataFrame:
+    return profile_rows(spark, PROFILES)
 
 
 def users(spark: SparkSession) -> DataFrame:

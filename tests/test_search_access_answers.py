@@ -112,6 +112,14 @@ def test_redaction_and_lookups(world):
     assert total["boss"]["allowed"] == 10 and total["portal"]["filtered_count"] == 8
 
 
+def test_many_users_are_decided_in_blocks(world, monkeypatch):
+    corpus, profiles, _ = world
+    rows = lambda: sorted((r["user_id"], r["key"], r["deny_reason"] or "") for r in access.decide(corpus.issues, profiles, profiles).collect())
+    want = rows()
+    monkeypatch.setattr(access, "BROADCAST_USERS", 2)
+    assert rows() == want and len(want) == 10 * profiles.count()
+
+
 # ---- router
 
 QUESTIONS = [
