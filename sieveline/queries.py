@@ -447,6 +447,57 @@ al AS (SELECT kept.*, row_number() OVER (ORDER BY hit NULLS LAST, ord) AS rank F
 SELECT key, status, rank FROM al WHERE {_ALLOWED}""",
 }
 
+# ---- envelopes and lookups
+
+#: Filters that can be read, that ask for nothing, that end in AND, and that cannot be read.
+FILTER_TEXTS = ("status = done", "", "project = EUROPE AND", "status = ", "((priority = High)", "labels IS", "priority = High ORDER BY created DESC")
+
+
+def env_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The outcome of each of FILTER_TEXTS: whether it could be read, how many rows it keeps and the first of them."""
+    issues = tables.order_issues(spark, d, False)
+    rows = []
+    for i, text in enumerate(FILTER_TEXTS):
+        r = filterlang.execute(issues, text, NOW)
+        got = r.issues.agg(F.count("*"), F.min("ord")).first() if r.success else (0, None)
+        rows.append((i, r.success, got[0], got[1], r.error is not None))
+    return spark.createDataFrame(rows, "n long, success boolean, total_count long, first_ord long, failed boolean")
+
+
+SEARCH_TEXTS = (SEARCH_TEXT, "the of a", "", "zzzunknownword")
+
+
+def env_search(spark: SparkSession, d: str) -> DataFrame:
+    """The outcome of each of SEARCH_TEXTS as its dictionary says it."""
+    index = stored_index(spark, d)
+    got = [textindex.run_search(index, t).to_dict() for t in SEARCH_TEXTS]
+    rows = [(i, r["success"], r["total_count"], ",".join(r["keys"]), ",".join(f"{r['relevance_scores'][k]:.4f}" for k in r["keys"]), r["error"]) for i, r in enumerate(got)]
+    return spark.createDataFrame(rows, "n long, success boolean, total_count long, keys string, scores string, error string")
+
+
+def acl_permissions(spark: SparkSession, d: str) -> DataFrame:
+    """What is known of each user, the unknown one too, and whether the first ticket is open to them."""
+    profiles, first = tables.profiles(spark), tables.order_issues(spark, d).filter(F.col("ord") == 1)
+    rows = []
+    for u in tables.USERS:
+        p, (allowed, reason) = access.user_permissions(profiles, u), access.check_access(first, u, profiles)
+        rows.append((u, p["exists"], ",".join(p.get("projects", [])), p.get("can_view_all"), p.get("can_view_comments"), allowed, reason))
+    return spark.createDataFrame(rows, "user_id string, known boolean, projects string, can_view_all boolean, can_view_comments boolean, first_allowed boolean, first_reason string")
+
+
+#: A trailing AND has no clause behind it and so belongs to the value before it.
+_ENV_FILTER = ((True, "status = 'Done'"), (True, "true"), (True, "split_part(key, '-', 1) = 'EUROPE AND'"), (False, "false"), (False, "false"), (False, "false"), (True, "priority = 'High'"))
+ENV_FILTER_SQL = f"WITH {tables.ISSUES_SQL}\n" + " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS n, {str(ok).lower()} AS success, count(*) AS total_count, min(ord) AS first_ord, {str(not ok).lower()} AS failed FROM iss WHERE {w}" for i, (ok, w) in enumerate(_ENV_FILTER)
+)
+ENV_SEARCH_SQL = _search_sql(_terms_sql(SEARCH_TEXT), 5, 0.1).format("*").rsplit("\n", 1)[0] + f""",
+hit AS (SELECT * FROM rk WHERE rank <= 5)
+SELECT CAST(0 AS BIGINT) AS n, true AS success, count(*) AS total_count, coalesce(string_agg(key, ',' ORDER BY rank), '') AS keys, coalesce(string_agg(printf('%.4f', score), ',' ORDER BY rank), '') AS scores, CAST(NULL AS VARCHAR) AS error FROM hit
+UNION ALL SELECT * FROM (VALUES (CAST(1 AS BIGINT), true, CAST(0 AS BIGINT), '', '', '{textindex.NO_TERMS}'), (2, true, 0, '', '', '{textindex.NO_TERMS}'), (3, true, 0, '', '', NULL))"""
+ACL_PERMISSIONS_SQL = f"""{ACL_SQL}SELECT usr.user_id, prof.user_id IS NOT NULL AS known, coalesce(array_to_string(projects, ','), '') AS projects, view_all AS can_view_all, prof.view_comments AS can_view_comments,
+  coalesce(reason IS NULL AND dec.user_id IS NOT NULL, false) AS first_allowed, reason AS first_reason
+FROM usr LEFT JOIN prof ON prof.user_id = usr.user_id LEFT JOIN (SELECT dec.* FROM dec JOIN iss ON iss.key = dec.key WHERE ord = 1) dec ON dec.user_id = usr.user_id"""
+
 _SHORT = "'• **' || key || '**: ' || summary || ' [' || status || ']'"
 
 
@@ -492,7 +543,7 @@ QUERIES: dict[str, Query] = (
     | {f.__name__: f for f in (val_keys, val_unknown, val_unretrieved, val_counts, val_status, val_priority, val_assignee, val_verdict)}
     | {"gnd_list": _grounded("list"), "gnd_count": _grounded("count"), "gnd_detail": _grounded("detail"), "ans_status_summary": ans_status_summary, "ans_first5": ans_first5}
     | {n: _pipe(q) for n, q in PIPE.items()}
-    | {"ask_answers": ask_answers}
+    | {f.__name__: f for f in (ask_answers, env_filter, env_search, acl_permissions)}
 )
 
 _W = f"WITH {tables.ISSUES_SQL}\n"
@@ -540,5 +591,5 @@ SQL: dict[str, str] = (
         FROM r JOIN s ON s.answer_id = r.answer_id GROUP BY r.answer_id""",
     }
     | _PIPE_SQL
-    | {"ask_answers": _asked_sql()}
+    | {"ask_answers": _asked_sql(), "env_filter": ENV_FILTER_SQL, "env_search": ENV_SEARCH_SQL, "acl_permissions": ACL_PERMISSIONS_SQL}
 )
