@@ -4,16 +4,20 @@ import hashlib
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sieveline.llm import bpe, media, packing, registry
-from tests.llm.test_operators import plain_fingerprint, plain_roots
+from sieveline.llm import bpe, lm_scoring, media, packing, quality_model, registry, toxicity
+from sieveline.llm.fitting import remainder
+from tests.llm.test_operators import lm_words, plain_fingerprint, plain_roots, plain_score, plain_tree
 from tests.test_queries import TABLES, same
 
 
@@ -79,6 +83,67 @@ def test_op2_op7_op10_shapes(spark, sf_dir, duck):
         assert len(rows) == n and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % modulus == rest) and r["predicted"] == (r["score"] >= least) for r in rows)
 
 
+def test_op2(spark, tmp_path):
+    """The registered query with its own depth against the definition, on a small table."""
+    texts = [f"Item {k} of the {'red' if k % 3 else 'blue'} list, page {k * k}" for k in range(24)] + ["", None, "odd one\tout", "item 3 of the red list"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    stream = lambda t: b" ".join(lm_words(t)[:-1]) + b"\n"
+    log_p = plain_tree([stream(t) for d, t in enumerate(texts) if zlib.crc32(str(d).encode()) % 7 != 2], lm_scoring.DEPTH)
+    got = {r["doc_id"]: r["score"] for r in registry.QUERIES["op2_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert got == {d: pytest.approx(plain_score(log_p, stream(t), lm_scoring.DEPTH), abs=1e-5) for d, t in enumerate(texts)}
+
+
+def test_op4(spark, sf_dir, texts):
+    """Every id once, in order, as the library encodes; sequences without gaps, none too long, little padding."""
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    pieces, sequences = {}, {}
+    for r in registry.QUERIES["op4_packing"](spark, sf_dir).collect():
+        pieces.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert pieces.keys() == texts.keys()
+    for d, t in texts.items():
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for r in sorted(pieces[d], key=lambda r: r["start"]):
+            part = ids[at : at + r["length"]]
+            assert (r["start"], r["doc_tokens"], len(part), r["ids_crc32"]) == (at, len(ids), r["length"], zlib.crc32(part.tobytes()))
+            at += len(part)
+        assert at == len(ids)
+    for s in sequences.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at and n > 0
+            at += n
+        assert at <= packing.WINDOW
+    total, tasks = sum(p[0]["doc_tokens"] for p in pieces.values()), spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions()
+    assert len(sequences) <= 1.01 * total / packing.WINDOW + 2 * tasks
+
+
+@pytest.mark.parametrize(("name", "module", "column"), [("op7_toxicity", toxicity, "toxic"), ("op10_quality_model", quality_model, "quality")])
+def test_classifiers_on_held_out_rows(spark, sf_dir, name, module, column):
+    """Held-out accuracy of the registered query, equal scores of equal texts, and no effect of held-out labels.
+
+    On sf0.1: sf0.01 has 33 toxic texts to learn from, and op7 then catches 12 of the 18 held out (none of 95 clean ones).
+    """
+    d = str(Path(sf_dir).with_name("sf0.1"))
+    if not Path(d).is_dir():
+        pytest.skip("no larger table")
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    text, want = {r["doc_id"]: r["text"] for r in docs.collect()}, {r["doc_id"]: r[column] for r in labels.collect()}
+    got = {r["doc_id"]: r for r in registry.QUERIES[name](spark, d).collect()}
+    assert got.keys() == text.keys()
+    held = [r for r in got.values() if r["held_out"] and want.get(r["doc_id"]) in (0, 1)]
+    right = {y: [r["predicted"] == y for r in held if want[r["doc_id"]] == y] for y in (0, 1)}
+    usual, rare = (0, 1) if column == "toxic" else (1, 0)
+    assert np.mean(right[usual]) >= 0.98 and np.mean(right[rare]) >= 0.8
+    by_text = {}
+    for k, r in got.items():
+        assert by_text.setdefault(text[k], r["score"]) == pytest.approx(r["score"], abs=1e-9)
+    hidden = labels.withColumn(column, F.when(remainder("doc_id", module.MODULUS) == module.KEPT_OUT, 1 - F.col(column)).otherwise(F.col(column)))
+    again = module.classify(docs.select("doc_id", "text"), hidden).collect()
+    assert all(r["score"] == pytest.approx(got[r["doc_id"]]["score"], abs=1e-6) for r in again)
+
+
 def test_pipeline(spark, sf_dir, duck):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "quality", "near-duplicates", "packing"]
