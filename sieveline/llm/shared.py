@@ -5,13 +5,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.functions.storage import delete, written
+from sieveline.functions.storage import shared_path as shared_dir
+
 #: The white space that separates words: space and U+0009 to U+000D, nothing else. ``bytes.split()`` splits on the same set.
 BLANKS = "\t\n\x0b\x0c\r "
 
@@ -41,29 +43,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; all executors and the driver see it.
-
-    Only where that setting is missing on a local master (tests, a laptop) a local folder is made, once per application.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="sieveline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it again. A lost executor costs nothing that is written."""
-    return _written(df, shared_dir(df.sparkSession, label))
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, shared_dir(df.sparkSession, label))
 
 
 class Scratch:
@@ -77,7 +59,7 @@ class Scratch:
 
     def cut(self, df: DataFrame, label: str) -> DataFrame:
         self.paths.append(shared_dir(self.spark, label))
-        return _written(df, self.paths[-1])
+        return written(df, self.paths[-1])
 
     def renew(self, df: DataFrame, label: str) -> DataFrame:
         """`cut`, after which the tables cut before go."""
@@ -88,8 +70,7 @@ class Scratch:
 
     def _delete(self, paths: list[str]) -> None:
         for p in paths:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, p)
 
     def __exit__(self, *_) -> None:
         self._delete(self.paths)
