@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveline.llm import bpe, chat_format, lm_scoring, media, packing, quality_model, quality_rules, simhash, toxicity, url_filter
+from sieveline.llm import bpe, chat_format, lm_scoring, media, packing, quality_model, quality_rules, records, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_quality_model": quality_model.op10_quality_model,
+    "op11_records": records.op11_records,
 }
 
 #: Where SQL can't express a query it is tested against a brute-force version in tests/llm.
