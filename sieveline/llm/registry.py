@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveline.llm import bpe, chat_format, lm_scoring, media, packing, prefix_trie, quality_model, quality_rules, records, simhash, toxicity, url_filter
+from sieveline.llm import bpe, chat_format, lm_scoring, media, packing, prefix_trie, quality_model, quality_rules, records, simhash, toxicity, turn_reassembly, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_model": quality_model.op10_quality_model,
     "op11_records": records.op11_records,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_turn_reassembly": turn_reassembly.op13_turn_reassembly,
 }
 
 #: Where SQL can't express a query it is tested against a brute-force version in tests/llm.
@@ -25,4 +26,5 @@ SQL = {
     "op3_quality_rules": quality_rules.sql(),
     "op9_url_filter": url_filter.sql(),
     "op12_prefix_trie": prefix_trie.SQL,
+    "op13_turn_reassembly": turn_reassembly.SQL,
 }

@@ -284,9 +284,9 @@ k AS (
   SELECT conv_id, turn, first, batch, role, payload, closed FROM a JOIN c USING (conv_id) WHERE batch <= closed
   QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY batch) = 1),
 o AS (
-  SELECT *, turn - first = row_number() OVER w - 1 AS released, max(batch) OVER w AS at, lag(turn) OVER w = turn - 1 AND lag(role) OVER w = role AS again
+  SELECT *, turn - first = row_number() OVER w - 1 AS released, max(batch) OVER w AS ready, lag(turn) OVER w = turn - 1 AND lag(role) OVER w = role AS again
   FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT 'reject' AS event, conv_id, turn, batch, sha256(payload) AS sha256, NULL::BIGINT AS n_missing, NULL::BIGINT AS n_breaks FROM a JOIN c USING (conv_id) WHERE batch > closed
-UNION ALL SELECT 'release', conv_id, turn, at, sha256(payload), NULL, NULL FROM o WHERE released
+UNION ALL SELECT 'release', conv_id, turn, ready, sha256(payload), NULL, NULL FROM o WHERE released
 UNION ALL SELECT 'close', conv_id, -1, any_value(closed), sha256(coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (NOT released), '')),
   max(turn) - any_value(first) + 1 - count(*), count(*) FILTER (again) FROM o GROUP BY conv_id"""
