@@ -21,6 +21,7 @@ empty table gives no shard; further columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -39,7 +40,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from sieveline.llm.media import file_system
 from sieveline.llm.packing import tokenizer_file
-from sieveline.llm.shared import BLANKS, shared_dir, table
+from sieveline.llm.shared import shared_dir, table
 
 END = 2
 MANIFEST = "shards.json"
@@ -48,25 +49,23 @@ MANIFEST = "shards.json"
 
 #: How a vocabulary of words with an end mark splits a normalised text, and the same pattern over `PLAIN` characters in lower case.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-#: Characters that normalisation leaves as they are, but for case, one to one: printable ASCII and the Latin-1 letters.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: Characters that normalisation leaves as they are, but for case, one to one: printable ASCII, the Latin-1 letters and white space.
+PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ\t\n\x0b\x0c\r]*")
 
-SLICE = 4_000_000  # characters of a text that are held as words at a time
+SLICE = 4_000_000  # characters of a text that are held as pieces at a time
 TOGETHER = 2000  # pieces in one call of the library
 
 
 class WordIds:
     """Ids of whole texts by a file of the `tokenizers` library.
 
-    Where the file drops white space, lower-cases and marks the ends of words, a text is cut at white space and a part into the pieces that the file's
-    pattern gives; pieces recur and their ids are kept. New pieces are encoded by the library, many in one text with spaces between: the end
-    mark of each shows where its ids end. Parts with other characters than `PLAIN`, and texts of other files, go to the library whole.
+    Where the file drops white space, lower-cases and marks the ends of words, a text is cut into the pieces that the file's pattern gives; pieces recur
+    and the ids of those met of late are kept. New pieces are encoded by the library, many in one text with spaces between: the end mark of each
+    shows where its ids end. Words with other characters than `PLAIN`, and texts of other files, go to the library whole.
     """
 
-    KEEP_LENGTH = 48
-
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,9 +75,9 @@ class WordIds:
         self.library.encode_special_tokens = True
         vocab = self.library.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4")
-        self.keep, self.parts, self.pieces = keep, {"": b""}, {}
-        self.by_parts = self._splits(spec)
-        if self.by_parts:
+        self.keep, self.pieces, self.older = keep, {}, {}
+        self.by_pieces = self._splits(spec)
+        if self.by_pieces:
             mark = spec["model"]["end_of_word_suffix"]
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(mark)]] = True
@@ -97,44 +96,44 @@ class WordIds:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_pieces(self, new: list[str]) -> None:
+    def _learn(self, used: set[str]) -> None:
+        new = used.difference(self.pieces)
+        back = new.intersection(self.older)
+        self.pieces.update(zip(back, map(self.older.__getitem__, back), strict=True))
+        new = list(new.difference(back))
         for at in range(0, len(new), TOGETHER):
             some = new[at : at + TOGETHER]
             ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, self.dtype)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("the tokenizer file splits pieces again")
-            raw, w = ids.tobytes(), self.dtype.itemsize
-            self.pieces.update(zip(some, (raw[a * w : b * w] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
-
-    def _learn_parts(self, parts: set[str]) -> None:
-        plain = {p: PLAIN_SPLIT.findall(p.lower()) for p in parts if PLAIN.fullmatch(p)}
-        odd = [p for p in parts if p not in plain]
-        self._learn_pieces(list({x for found in plain.values() for x in found}.difference(self.pieces)))
-        get = self.pieces.__getitem__
-        self.parts.update((p, b"".join(map(get, found))) for p, found in plain.items())
-        self.parts.update(zip(odd, self.whole(odd), strict=True))
-
-    def _trim(self, known: dict[str, bytes], used: set[str]) -> None:
-        """Long ones go at once; all go when there are too many."""
-        if len(known) > self.keep:
-            known.clear()
-        else:
-            for p in [p for p in used if len(p) > self.KEEP_LENGTH]:
-                known.pop(p, None)
-        known.setdefault("", b"")
-
-    def _words(self, texts: list[str]) -> list[bytes]:
-        words = [(t if t.isprintable() else t.translate(_TO_SPACE)).split(" ") for t in texts]
-        used = set().union(*words)
-        self._learn_parts(used.difference(self.parts))
-        out = [b"".join(map(self.parts.__getitem__, w)) for w in words]
-        self._trim(self.parts, used)
-        self._trim(self.pieces, set() if len(self.pieces) <= self.keep and max(map(len, used), default=0) <= self.KEEP_LENGTH else {p for p in self.pieces if len(p) > self.KEEP_LENGTH})
+            raw, cuts = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+            self.pieces.update(zip(some, (raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        """texts: `PLAIN` characters alone."""
+        found = [PLAIN_SPLIT.findall(t.lower()) for t in texts]
+        self._learn(set().union(*found))
+        out = [b"".join(map(self.pieces.__getitem__, f)) for f in found]
+        if len(self.pieces) > self.keep:
+            self.pieces, self.older = {}, self.pieces
         return out
 
+    def _some(self, texts: list[str]) -> list[bytes]:
+        odd = [i for i, t in enumerate(texts) if not PLAIN.fullmatch(t)]
+        if not odd:
+            return self._by_pieces(texts)
+        # an odd text: its plain runs as texts, its odd words as lists
+        runs = {i: [" ".join(g) if plain else list(g) for plain, g in itertools.groupby(texts[i].split(" "), lambda w: bool(PLAIN.fullmatch(w)))] for i in odd}
+        flat = [t for i, t in enumerate(texts) if i not in runs] + [r for i in odd for r in runs[i] if isinstance(r, str)]
+        plain = iter(self._by_pieces(flat))
+        out = {i: next(plain) for i in range(len(texts)) if i not in runs}
+        for i in odd:
+            out[i] = b"".join(next(plain) if isinstance(r, str) else b"".join(self.whole(r)) for r in runs[i])
+        return [out[i] for i in range(len(texts))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_parts:
+        if not self.by_pieces:
             return self.whole(texts)
         out: list[list[bytes]] = [[] for _ in texts]
         held, at, size = [], [], 0
@@ -144,17 +143,14 @@ class WordIds:
                 at.append(i)
                 size += len(piece)
                 if size >= SLICE:
-                    for k, ids in zip(at, self._words(held), strict=True):
+                    for k, ids in zip(at, self._some(held), strict=True):
                         out[k].append(ids)
                     held, at, size = [], [], 0
-        for k, ids in zip(at, self._words(held) if held else [], strict=True):
+        for k, ids in zip(at, self._some(held) if held else [], strict=True):
             out[k].append(ids)
         return [b"".join(x) for x in out]
 
 
-_TO_SPACE = dict.fromkeys(map(ord, BLANKS), " ")
-
-
 def slices(text: str, n: int = SLICE) -> Iterator[str]:
     """A text in slices of about n characters, cut at spaces."""
     at = 0
