@@ -3,21 +3,24 @@
 Weights are term count times ln(N / df), unsmoothed, so a term of every document weighs nothing. Scores are compared unrounded with the
 threshold, then rounded to four places and ranked; ties keep document order.
 
-`store` writes the index once: postings, with their weight and their document's norm, sorted by term over range partitions, so that a query
-reads the row groups of its own terms and nothing else; a term of very many documents lies in several partitions. `build` is the same index
-as a plan that is computed when it is read, for small corpora.
+`store` writes the index once: postings sorted by term over range partitions, so that a query reads the row groups of its own terms and nothing
+else; a term of very many documents lies in several partitions. A posting holds its count alone: the term's idf comes with the query, and the
+norms of what was found by document. `build` is the same index as a plan that is computed when it is read, for small corpora. Batches of
+queries are joined by `simjoin`, which leaves out what can't reach the threshold.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.functions.columns import tokens
+from sieveline.functions.columns import STOPWORDS, tokens
 from sieveline.functions.storage import written
 
 NO_TERMS = "Query produced no searchable terms"
@@ -35,19 +38,50 @@ def document_text(issues: DataFrame) -> DataFrame:
 class TextIndex:
     docs: DataFrame  # ord, key
     counts: DataFrame  # key, ord, term, tf: by document
-    postings: DataFrame  # key, ord, term, tf, weight, norm: by term
+    postings: DataFrame  # key, ord, term, tf: by term
     idf: DataFrame  # term, df, idf
     norms: DataFrame  # key, norm
 
 
+#: Postings in one Arrow batch that leaves the counting.
+BATCH = 100_000
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(key, ord, term, tf). Counted inside each row, as runs of its sorted terms, so nothing is exchanged."""
-    t = F.col("_t")
-    begins = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
-    rows = docs.select("key", "ord", F.array_sort(tokens(F.col("text"))).alias("_t")).filter(F.size("_t") > 0).withColumn("_b", begins)
-    ends = F.concat(F.slice("_b", F.lit(2), F.size("_b")), F.array(F.size("_t")))
-    runs = F.zip_with("_b", ends, lambda a, b: F.struct(F.get(t, a).alias("term"), (b - a).cast("long").alias("tf")))
-    return rows.select("key", "ord", F.inline(runs))
+    """(key, ord, term, tf): the counts of `tokens` by document. A document is counted where its row is, in Arrow batches, so nothing is exchanged and
+    a text is cut into words once whatever is asked of the counts."""
+    stops = frozenset(STOPWORDS)
+    most = BATCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+        from collections import Counter
+
+        import numpy as np
+        import pyarrow as pa
+
+        words = re.compile("[a-z0-9]+").findall
+
+        def out(b: pa.RecordBatch, rows: list[int], sizes: list[int], terms: list[str], tfs: list[int]) -> pa.RecordBatch:
+            at = pa.array(np.repeat(rows, sizes))
+            return pa.RecordBatch.from_arrays([b["key"].take(at), b["ord"].take(at), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], names=["key", "ord", "term", "tf"])
+
+        for b in batches:
+            rows, sizes, terms, tfs = [], [], [], []
+            for i, text in enumerate(b["text"].to_pylist()):
+                found = {w: n for w, n in Counter(words(text)).items() if len(w) > 1 and w not in stops}
+                rows.append(i)
+                sizes.append(len(found))
+                terms += found
+                tfs += found.values()
+                if len(terms) >= most:
+                    yield out(b, rows, sizes, terms, tfs)
+                    rows, sizes, terms, tfs = [], [], [], []
+            if terms:
+                yield out(b, rows, sizes, terms, tfs)
+
+    lowered = docs.select(F.col("key").cast("string").alias("key"), F.col("ord").cast("long").alias("ord"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return lowered.mapInArrow(run, "key string, ord long, term string, tf long")
 
 
 def inverse_frequencies(counts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -69,38 +103,37 @@ def build(docs: DataFrame) -> TextIndex:
     """docs: ord, key (unique), text. The counts are used by every part, so callers with many queries should `persist` or `store` the index."""
     counts = term_counts(docs)
     idf = inverse_frequencies(counts, docs)
-    weighted = weights(counts, idf)
-    norms = lengths(weighted)
-    return TextIndex(docs.select("ord", "key"), counts, weighted.join(norms, "key"), idf, norms)
+    return TextIndex(docs.select("ord", "key"), counts, counts, idf, lengths(weights(counts, idf)))
 
 
 def persist(index: TextIndex) -> TextIndex:
-    """Keeps postings, weights and norms on the executors (memory, then disk) for repeated queries."""
+    """Keeps postings and norms on the executors (memory, then disk) for repeated queries."""
     return TextIndex(index.docs, index.counts, index.postings.persist(), index.idf.persist(), index.norms.persist())
 
 
 def store(docs: DataFrame, path: str) -> TextIndex:
-    """`build`, each part written below path once and read from there: counts in document order with a Bloom filter over keys, the rest by term."""
+    """`build`, each part written below path once and read from there: counts in document order with a Bloom filter over keys, the rest by term. The
+    texts are read once; idf, norms and postings are made of the written counts, and only the norms need a join."""
     part = lambda df, name, **options: written(df, f"{path}/{name}", **options)
     counts = part(term_counts(docs), "counts", **{"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
     idf = part(inverse_frequencies(counts, docs).repartitionByRange("term").sortWithinPartitions("term"), "idf")
-    weighted = weights(counts, idf)
-    norms = part(lengths(weighted), "norms")
-    postings = part(weighted.join(norms, "key").repartitionByRange("term", "ord").sortWithinPartitions("term", "ord"), "postings")
+    norms = part(lengths(weights(counts, idf)), "norms")
+    postings = part(counts.repartitionByRange("term", "ord").sortWithinPartitions("term", "ord"), "postings")
     return TextIndex(docs.select("ord", "key"), counts, postings, idf, norms)
 
 
-def similarities(index: TextIndex, query_terms: DataFrame) -> DataFrame:
-    """(query_id, key, ord, score) of pairs that share a weighted term. query_terms: query_id, term, tf."""
-    q = query_terms.join(index.idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("q_weight"))
-    q_norms = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q_weight") * F.col("q_weight"))).alias("q_norm"))
-    return _cosines(index.postings.join(q, "term"), q_norms)
+def _cosines(matched: DataFrame, q_norms: DataFrame, norms: DataFrame) -> DataFrame:
+    """matched: query_id, key, ord, tf, idf, q_weight."""
+    dots = matched.groupBy("query_id", "key", "ord").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q_weight")).alias("dot"))
+    scored = dots.join(q_norms, "query_id").join(norms, "key").filter((F.col("q_norm") > 0) & (F.col("norm") > 0))
+    return scored.select("query_id", "key", "ord", (F.col("dot") / (F.col("q_norm") * F.col("norm"))).alias("score"))
 
 
-def _cosines(matched: DataFrame, q_norms: DataFrame) -> DataFrame:
-    dots = matched.groupBy("query_id", "key", "ord").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("dot"), F.first("norm").alias("norm"))
-    scored = dots.join(q_norms, "query_id").filter((F.col("q_norm") > 0) & (F.col("norm") > 0))
-    return scored.select("query_id", "key", "ord", (F.col("dot") / (F.col("q_norm") * F.col("norm"))).alias("score"))
+def similarities(index: TextIndex, query_terms: DataFrame) -> DataFrame:
+    """(query_id, key, ord, score) of all pairs that share a weighted term. query_terms: query_id, term, tf."""
+    q = query_terms.join(index.idf, "term").select("query_id", "term", "idf", (F.col("tf") * F.col("idf")).alias("q_weight"))
+    q_norms = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q_weight") * F.col("q_weight"))).alias("q_norm"))
+    return _cosines(index.postings.join(q, "term"), q_norms, index.norms)
 
 
 #: Up to this many terms of one query are written into the scan's filter; beyond it a join finds them.
@@ -116,10 +149,10 @@ def similarities_to(index: TextIndex, text: str) -> DataFrame:
         return similarities(index, query_terms(asked))
     among = F.col("term").isin(list(tf))
     known = index.idf.filter(among).select("term", "idf").collect()
-    q = [(0, r["term"], tf[r["term"]] * r["idf"]) for r in known]
-    q_rows = spark.createDataFrame(q, "query_id int, term string, q_weight double")
-    q_norm = spark.createDataFrame([(0, math.sqrt(sum(w * w for _, _, w in q)))], "query_id int, q_norm double")
-    return _cosines(index.postings.filter(among).join(F.broadcast(q_rows), "term"), F.broadcast(q_norm))  # at most FILTER_TERMS rows
+    q = [(0, r["term"], r["idf"], tf[r["term"]] * r["idf"]) for r in known]
+    q_rows = spark.createDataFrame(q, "query_id int, term string, idf double, q_weight double")
+    q_norm = spark.createDataFrame([(0, math.sqrt(sum(w * w for *_, w in q)))], "query_id int, q_norm double")
+    return _cosines(index.postings.filter(among).join(F.broadcast(q_rows), "term"), F.broadcast(q_norm), index.norms)  # at most FILTER_TERMS rows
 
 
 def ranked(scored: DataFrame, top_k: int | Column, min_score: float) -> DataFrame:
@@ -136,10 +169,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def search_batch(index: TextIndex, queries: DataFrame, top_k: int = 5, min_score: float = 0.1) -> DataFrame:
     """All queries in one plan. At a threshold of zero or less, documents without a shared term count with score zero."""
+    if min_score > 0:
+        from sieveline.operators import simjoin
+
+        return ranked(simjoin.best_pairs(index, simjoin.query_vectors(index, query_terms(queries)), top_k, min_score), top_k, min_score)
     found = similarities(index, query_terms(queries))
-    if min_score <= 0:
-        every = query_terms(queries).select("query_id").distinct().crossJoin(index.docs)  # asked for: every document of every query
-        found = every.join(found.select("query_id", "key", "score"), ["query_id", "key"], "left").select("query_id", "key", "ord", F.coalesce("score", F.lit(0.0)).alias("score"))
+    every = query_terms(queries).select("query_id").distinct().crossJoin(index.docs)  # asked for: every document of every query
+    found = every.join(found.select("query_id", "key", "score"), ["query_id", "key"], "left").select("query_id", "key", "ord", F.coalesce("score", F.lit(0.0)).alias("score"))
     return ranked(found, top_k, min_score)
 
 
@@ -164,8 +200,12 @@ def similar(index: TextIndex, key: str, top_k: int = 3, min_score: float = 0.1)
 
 def similar_batch(index: TextIndex, keys: DataFrame, top_k: int = 3, min_score: float = 0.1) -> DataFrame:
     """(query_id, key, ord, score, rank): `similar` for all documents in keys (key) in one plan; query_id is the document's key."""
+    from sieveline.operators import simjoin
+
     own = index.counts.join(keys.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("query_id"), "term", "tf")
-    return ranked(similarities(index, own).filter("query_id <> key"), top_k, min_score)
+    if min_score <= 0:
+        return ranked(similarities(index, own).filter("query_id <> key"), top_k, min_score)
+    return ranked(simjoin.best_pairs(index, simjoin.query_vectors(index, own), top_k, min_score, itself=False), top_k, min_score)
 
 
 @dataclass
