@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from sieveline import queries
+from sieveline import catalog as queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
