@@ -237,24 +237,25 @@ SELECT kept.key, score, row_number() OVER (ORDER BY hit NULLS LAST, kept.key, or
 # ---- access
 
 
-def _decided(spark: SparkSession, d: str) -> DataFrame:
-    return access.decide(tables.order_issues(spark, d), tables.users(spark), tables.profiles(spark))
+def _classes(spark: SparkSession, d: str) -> access.Classes:
+    return access.classify(tables.order_issues(spark, d), tables.users(spark), tables.profiles(spark))
 
 
 def acl_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return _decided(spark, d).select("user_id", "key", F.col("deny_reason").isNull().alias("allowed"))
+    return _classes(spark, d).decided("key").select("user_id", "key", F.col("deny_reason").isNull().alias("allowed"))
 
 
 def acl_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return _decided(spark, d).filter("deny_reason is not null").groupBy("user_id", "deny_reason").agg(F.count("*").alias("n"))
+    return _classes(spark, d).reasons()
 
 
 def acl_redact(spark: SparkSession, d: str) -> DataFrame:
-    return access.redacted(_decided(spark, d)).select("user_id", "key", F.size("comments").cast("long").alias("n_comments"), F.col("_comments_redacted").alias("redacted"))
+    rows = access.redacted(_classes(spark, d).decided("key", "comments"))
+    return rows.select("user_id", "key", F.size("comments").cast("long").alias("n_comments"), F.col("_comments_redacted").alias("redacted"))
 
 
 def acl_summary(spark: SparkSession, d: str) -> DataFrame:
-    return access.summary(_decided(spark, d))
+    return _classes(spark, d).summary()
 
 
 ACL_SQL = f"""WITH {tables.ISSUES_SQL},

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sieveline.functions.columns import STOPWORDS
 from sieveline.operators import access, grounding, textindex
@@ -108,16 +109,28 @@ def test_redaction_and_lookups(world):
     assert access.check_access(corpus.issues.filter("key = 'OPS-2'"), "ops", profiles) == (False, "restricted_labels:security")
     assert access.user_permissions(profiles, "who") == {"exists": False, "user_id": "who", "access_level": "none"}
     assert access.user_permissions(profiles, "boss")["can_view_comments"] is True
-    total = {r["user_id"]: r for r in access.summary(access.decide(corpus.issues, profiles, profiles)).collect()}
+    total = {r["user_id"]: r for r in access.classify(corpus.issues, profiles, profiles).summary().collect()}
     assert total["boss"]["allowed"] == 10 and total["portal"]["filtered_count"] == 8
 
 
-def test_many_users_are_decided_in_blocks(world, monkeypatch):
+@pytest.mark.parametrize("named", [access.NAMED, 1, 0])
+def test_classes_decide_as_rows_do(spark, world, named):
+    """Every pair as for one user alone: users with equal rights, without a profile, asked for twice; labels that no profile names."""
     corpus, profiles, _ = world
-    rows = lambda: sorted((r["user_id"], r["key"], r["deny_reason"] or "") for r in access.decide(corpus.issues, profiles, profiles).collect())
-    want = rows()
-    monkeypatch.setattr(access, "BROADCAST_USERS", 2)
-    assert rows() == want and len(want) == 10 * profiles.count()
+    twin = profiles.filter("user_id = 'portal'").withColumn("user_id", F.lit("twin"))
+    profiles = profiles.union(twin)
+    users = profiles.select("user_id").union(spark.createDataFrame([("who",), ("who",), ("boss",)], "user_id string"))
+    asked = sorted({r["user_id"] for r in users.collect()})
+    found = access.classify(corpus.issues, users, profiles, named)
+    rows = lambda df, u=None: sorted((u or r["user_id"], r["key"], r["deny_reason"] or "") for r in df.collect())
+    want = [x for u in asked for x in rows(access.for_user(corpus.issues, u, profiles), u)]
+    assert rows(found.decided()) == rows(found.decided("key")) == sorted(want) and len(want) == 10 * len(asked)
+    denied = Counter((u, why) for u, _, why in want if why)
+    assert {(r["user_id"], r["deny_reason"]): r["n"] for r in found.reasons().collect()} == denied
+    for r in found.summary().collect():
+        mine = [why for u, _, why in want if u == r["user_id"]]
+        assert (r["total_before_filter"], r["allowed"], r["filtered_count"]) == (10, mine.count(""), 10 - mine.count(""))
+    assert access.classify(corpus.issues.limit(0), users, profiles, named).decided().count() == 0
 
 
 # ---- router
