@@ -238,6 +238,8 @@ def run_batches(spark: SparkSession, staged: str, batches: int, root: str) -> Da
         arrivals = spark.readStream.schema(ARRIVAL).option("recursiveFileLookup", "true").parquet(inbox)
         query = reassemble(arrivals).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(out)
         query.awaitTermination()
+    for done in (staged, inbox):  # the events and the checkpoint stay
+        fs.delete(path(done), True)
     return spark.read.schema(EVENT).parquet(out)
 
 
