@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sieveline import queries, queries_changes
+from sieveline import queries, queries_changes, queries_many
 
-_PARTS = (queries, queries_changes)
+_PARTS = (queries, queries_changes, queries_many)
 QUERIES: dict[str, queries.Query] = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

@@ -200,6 +200,10 @@ _SCALARS = {"status", "priority", "type", "summary", "description", "created", "
 _ARRAYS = {"labels", "components"}
 
 
+def _known(field: str) -> bool:
+    return field in _SCALARS or field in ("project", "issuetype", "assignee", "reporter")
+
+
 def _scalar(field: str) -> Column | None:
     if field == "project":
         return project_of(F.col("key"))
