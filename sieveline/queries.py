@@ -188,13 +188,13 @@ def txt_similar_batch(spark: SparkSession, d: str) -> DataFrame:
     return textindex.similar_batch(stored_index(spark, d), keys, 10).select("query_id", "key", "score", "rank")
 
 
-_STOPS = ", ".join(f"'{w}'" for w in STOPWORDS)
+STOPS_SQL = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
 def text_sql(docs: str = tables.DOCUMENTS_SQL) -> str:
     """The index over docs, which names a table doc (ord, key, text)."""
     return f"""{docs},
-tok AS MATERIALIZED (SELECT ord, key, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: len(x) > 1 AND x NOT IN ({_STOPS})) AS t FROM doc),
+tok AS MATERIALIZED (SELECT ord, key, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: len(x) > 1 AND x NOT IN ({STOPS_SQL})) AS t FROM doc),
 tf AS MATERIALIZED (SELECT key, ord, term, count(*) AS tf FROM (SELECT key, ord, unnest(t) AS term FROM tok) GROUP BY ALL),
 idf AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT count(DISTINCT key) FROM doc) / count(*)) AS idf FROM tf GROUP BY term),
 post AS MATERIALIZED (SELECT key, ord, tf.term, tf, tf * idf AS w FROM tf JOIN idf ON tf.term = idf.term),
@@ -204,21 +204,27 @@ norm AS MATERIALIZED (SELECT key, sqrt(sum(w * w)) AS norm FROM post GROUP BY ke
 TEXT_SQL = text_sql()
 
 
-def search_sql(queries: str, top: int, least: float, skip: str = "false", docs: str = tables.DOCUMENTS_SQL) -> str:
-    """queries: (query_id, term, tf)."""
+def search_ctes(queries: str, least: float, skip: str = "false", docs: str = tables.DOCUMENTS_SQL) -> str:
+    """Tables up to rk (query_id, key, score, rank): all documents of each query with at least that score. queries: (query_id, term, tf)."""
     return f"""WITH {text_sql(docs)},
 q AS (SELECT query_id, x.term, x.tf * idf AS qw FROM ({queries}) x JOIN idf ON x.term = idf.term),
 qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qnorm FROM q GROUP BY 1),
-sc AS (SELECT q.query_id, post.key, post.ord, sum(w * qw) / (any_value(qnorm) * any_value(norm)) AS s FROM post JOIN q ON post.term = q.term JOIN qn ON qn.query_id = q.query_id JOIN norm ON norm.key = post.key WHERE norm > 0 AND qnorm > 0 GROUP BY 1, 2, 3),
-rk AS (SELECT query_id, key, round(s, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 4) DESC, ord) AS rank FROM sc WHERE s >= {least} AND NOT ({skip}))
-SELECT {{}} FROM rk WHERE rank <= {top}"""
+sc AS (
+  SELECT q.query_id, post.key, post.ord, sum(w * qw) / (any_value(qnorm) * any_value(norm)) AS s
+  FROM post JOIN q ON post.term = q.term JOIN qn ON qn.query_id = q.query_id JOIN norm ON norm.key = post.key WHERE norm > 0 AND qnorm > 0 GROUP BY 1, 2, 3),
+rk AS (SELECT query_id, key, round(s, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 4) DESC, ord) AS rank FROM sc WHERE s >= {least} AND NOT ({skip}))"""
+
+
+def search_sql(queries: str, top: int, least: float, skip: str = "false", docs: str = tables.DOCUMENTS_SQL) -> str:
+    """The best of each query; the columns are to be filled in."""
+    return f"{search_ctes(queries, least, skip, docs)}\nSELECT {{}} FROM rk WHERE rank <= {top}"
 
 
 def terms_sql(text: str) -> str:
-    return f"SELECT 0 AS query_id, term, count(*) AS tf FROM (SELECT unnest(regexp_extract_all(lower('{text}'), '[a-z0-9]+')) AS term) WHERE len(term) > 1 AND term NOT IN ({_STOPS}) GROUP BY term"
+    return f"SELECT 0 AS query_id, term, count(*) AS tf FROM (SELECT unnest(regexp_extract_all(lower('{text}'), '[a-z0-9]+')) AS term) WHERE len(term) > 1 AND term NOT IN ({STOPS_SQL}) GROUP BY term"
 
 
-BENCH_SQL = f"SELECT query_id, term, count(*) AS tf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) WHERE len(term) > 1 AND term NOT IN ({_STOPS}) GROUP BY ALL"
+BENCH_SQL = f"SELECT query_id, term, count(*) AS tf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) WHERE len(term) > 1 AND term NOT IN ({STOPS_SQL}) GROUP BY ALL"
 
 # ---- hybrid
 
@@ -229,7 +235,7 @@ def hyb_rank(spark: SparkSession, d: str) -> DataFrame:
     return assistant.hybrid(tables.document_issues(spark, d), stored_index(spark, d), *HYBRID).select("key", F.col("score"), F.col("rank"))
 
 
-HYB_SQL = search_sql(terms_sql(HYBRID[1]), 1 << 40, 0.1).replace("SELECT {} FROM rk WHERE", "").rsplit("\n", 1)[0] + f""",{tables.DOCUMENT_ISSUES_SQL},
+HYB_SQL = search_ctes(terms_sql(HYBRID[1]), 0.1) + f""",{tables.DOCUMENT_ISSUES_SQL},
 kept AS (SELECT ord, key FROM diss WHERE lower(status) = 'done' AND NOT list_contains(labels, 'toxic')),
 best AS (SELECT key, score, rank AS hit FROM rk WHERE rank <= (SELECT count(*) FROM kept))
 SELECT kept.key, score, row_number() OVER (ORDER BY hit NULLS LAST, kept.key, ord) AS rank FROM kept LEFT JOIN best ON best.key = kept.key"""
@@ -445,9 +451,9 @@ PIPE = {"pipe_jql": "Show done tasks in EN", "pipe_semantic": "tickets about lic
 _ALLOWED = "split_part(key, '-', 1) IN ('EN', 'FR') AND NOT list_contains(labels, 'toxic')"
 _PIPE_SQL = {
     "pipe_jql": f"WITH {tables.DOCUMENT_ISSUES_SQL},\nk AS (SELECT *, row_number() OVER (ORDER BY ord) AS rank FROM diss WHERE split_part(key, '-', 1) = 'EN' AND status = 'Done')\nSELECT key, status, rank FROM k WHERE {_ALLOWED}",
-    "pipe_semantic": search_sql(terms_sql("tickets about license version software"), 10, 0.1).rsplit("\n", 1)[0]
+    "pipe_semantic": search_ctes(terms_sql("tickets about license version software"), 0.1)
     + f",{tables.DOCUMENT_ISSUES_SQL}\nSELECT diss.key, status, rank FROM rk JOIN diss ON diss.key = rk.key WHERE rank <= 10 AND {_ALLOWED.replace('key', 'diss.key')}",
-    "pipe_hybrid": search_sql(terms_sql("tickets about license version software"), 10, 0.1).rsplit("\n", 1)[0]
+    "pipe_hybrid": search_ctes(terms_sql("tickets about license version software"), 0.1)
     + f""",{tables.DOCUMENT_ISSUES_SQL},
 kept AS (SELECT ord, key, status, labels FROM diss WHERE priority = 'Low'),
 best AS (SELECT key, rank AS hit FROM rk WHERE rank <= (SELECT count(*) FROM kept)),
@@ -498,7 +504,7 @@ _ENV_FILTER = ((True, "status = 'Done'"), (True, "true"), (True, "split_part(key
 ENV_FILTER_SQL = f"WITH {tables.ISSUES_SQL}\n" + " UNION ALL ".join(
     f"SELECT CAST({i} AS BIGINT) AS n, {str(ok).lower()} AS success, count(*) AS total_count, min(ord) AS first_ord, {str(not ok).lower()} AS failed FROM iss WHERE {w}" for i, (ok, w) in enumerate(_ENV_FILTER)
 )
-ENV_SEARCH_SQL = search_sql(terms_sql(SEARCH_TEXT), 5, 0.1).format("*").rsplit("\n", 1)[0] + f""",
+ENV_SEARCH_SQL = search_ctes(terms_sql(SEARCH_TEXT), 0.1) + f""",
 hit AS (SELECT * FROM rk WHERE rank <= 5)
 SELECT CAST(0 AS BIGINT) AS n, true AS success, count(*) AS total_count, coalesce(string_agg(key, ',' ORDER BY rank), '') AS keys, coalesce(string_agg(printf('%.4f', score), ',' ORDER BY rank), '') AS scores, CAST(NULL AS VARCHAR) AS error FROM hit
 UNION ALL SELECT * FROM (VALUES (CAST(1 AS BIGINT), true, CAST(0 AS BIGINT), '', '', '{textindex.NO_TERMS}'), (2, true, 0, '', '', '{textindex.NO_TERMS}'), (3, true, 0, '', '', NULL))"""
@@ -526,7 +532,7 @@ def _asked_sql() -> str:
     ]
     got = " UNION ALL ".join(f"SELECT {n} AS n, pos, key, summary, status, {'false' if ASKED[n][1] == 'nobody' else _ALLOWED} AS ok FROM ({q})" for n, q in sorted(rows.items()))
     return (
-        search_sql(terms_sql(ASKED[5][0]), 10, 0.1).rsplit("\n", 1)[0]
+        search_ctes(terms_sql(ASKED[5][0]), 0.1)
         + f""",{tables.DOCUMENT_ISSUES_SQL},
 got AS ({got}),
 seen AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY pos) AS p FROM got WHERE ok),
