@@ -3,10 +3,10 @@
 1. Texts are made distinct and parsed in tasks. A filter becomes a Boolean form over atoms. Equality and IN, on fields and on arrays, become atoms
    that name a field and a value, so that a ticket finds its true ones by a join: it probes with the values it has. All other atoms
    (contains, null and empty tests, dates) are made distinct and evaluated once a ticket, `BLOCK` in a projection.
-2. Tickets with the same true atoms are one class, and forms are evaluated over classes.
-3. A form names sets of atoms of which one must be true for it to hold; its rarest set, by the tickets behind it, is its key. Only classes that
-   have an atom of the key are tried. Forms that can hold with no atom true (negations, an empty query) are tried on every class: they are
-   the ones that most tickets match.
+2. Tickets with the same true atoms are one class, and filters are tried on classes.
+3. A form becomes clauses, one of which must hold; filters share clauses, and each clause is tried once. A clause names atoms that must be true; its
+   rarest, by the tickets behind it, is its key, and only classes that have it are tried. Clauses that can hold with no atom true (negations,
+   an empty query) are tried on every class: they are the ones that most tickets match. A form of more than `CLAUSES` clauses is one whole.
 
 A text that can't be parsed gives an error instead of tickets, as it does alone. Order clauses are read and have no effect on what matches.
 """
@@ -30,7 +30,10 @@ from sieveline.operators import filterlang as lang
 #: Atoms that are evaluated in one projection.
 BLOCK = 500
 
-PARSED = "text string, error string, form string, atoms array<string>, keys array<array<string>>"
+#: Clauses that a form is taken apart into at most.
+CLAUSES = 32
+
+PARSED = "text string, error string, clauses array<struct<clause: string, atoms: array<string>, keys: array<array<string>>>>"
 #: Kinds of atoms that a ticket finds by its values: equal ignoring case, equal, element of an array.
 EQUAL, EXACT, ELEMENT = "=", "==", "in"
 #: Between the parts of an atom's name, of which only the last may be any text.
@@ -111,37 +114,72 @@ def holds(form: list, true: frozenset[str]) -> bool:
     return not holds(rest[0], true) if head == "not" else head in true
 
 
+def clauses_of(form: list, negated: bool = False) -> list[tuple[frozenset[str], frozenset[str]]] | None:
+    """(true atoms, false atoms) of each clause; None if they are too many."""
+    head, *rest = form
+    if head == "not":
+        return clauses_of(rest[0], not negated)
+    if head not in ("and", "or"):
+        return [(frozenset(), frozenset([head]))] if negated else [(frozenset([head]), frozenset())]
+    parts = [clauses_of(p, negated) for p in rest]
+    if any(p is None for p in parts):
+        return None
+    if (head == "and") == negated:  # any of them
+        out = [c for p in parts for c in p]
+    else:
+        out = [(frozenset(), frozenset())]
+        for p in parts:
+            out = [(a | c, b | d) for a, b in out for c, d in p]
+            if len(out) > CLAUSES:
+                return None
+    out = [c for c in dict.fromkeys(out) if not c[0] & c[1]]
+    return out if len(out) <= CLAUSES else None
+
+
+def _clauses(form: list) -> list[tuple[str, list[str], list[list[str]]]]:
+    """Each clause as text, its atoms and the sets of atoms of which one must be true."""
+    found = clauses_of(form)
+    if found is None:
+        return [(json.dumps(form, ensure_ascii=False), sorted(atoms_in(form)), keys_of(form))]
+    return [(json.dumps({"true": sorted(t), "false": sorted(f)}, ensure_ascii=False), sorted(t | f), [[a] for a in sorted(t)]) for t, f in found]
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("clause", pa.string()), ("atoms", pa.list_(pa.string())), ("keys", pa.list_(pa.list_(pa.string())))]))
     for b in batches:
-        out: dict[str, list] = {k.split()[0]: [] for k in PARSED.split(", ")}
+        errors, clauses = [], []
         for text in b["text"].to_pylist():
             try:
-                form, error = form_of(lang.parse(text or "").where), None
+                clauses.append([dict(zip(("clause", "atoms", "keys"), c, strict=True)) for c in _clauses(form_of(lang.parse(text).where))])
+                errors.append(None)
             except lang.FilterSyntaxError as e:
-                form, error = ["and"], str(e)
-            for k, v in zip(out, (text, error, None if error else json.dumps(form, ensure_ascii=False), sorted(atoms_in(form)), keys_of(form)), strict=True):
-                out[k].append(v)
-        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.list_(pa.string())))
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+                clauses.append([])
+                errors.append(str(e))
+        yield pa.RecordBatch.from_arrays([b["text"], pa.array(errors, pa.string()), pa.array(clauses, kind)], names=["text", "error", "clauses"])
 
 
 @lru_cache(100_000)
-def _loaded(form: str) -> list:
-    return json.loads(form)
+def _loaded(clause: str) -> list | tuple[frozenset[str], frozenset[str]]:
+    c = json.loads(clause)
+    return c if isinstance(c, list) else (frozenset(c["true"]), frozenset(c["false"]))
+
+
+def _holds(clause: str, met: frozenset[str]) -> bool:
+    c = _loaded(clause)
+    return holds(c, met) if isinstance(c, list) else c[0] <= met and not c[1] & met
 
 
 def _try(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, class, met, form) to those (text, class) that hold."""
+    """(clause_id, class, met, clause) to those (clause_id, class) that hold."""
     for b in batches:
-        sets: dict[str, frozenset[str]] = {}
-        classes, met = b["class"].to_pylist(), b["met"]
-        keep = []
-        for i, form in enumerate(b["form"].to_pylist()):
-            if classes[i] not in sets:
-                sets[classes[i]] = frozenset(met[i].as_py())
-            keep.append(holds(_loaded(form), sets[classes[i]]))
+        sets: dict[int, frozenset[str]] = {}
+        met, keep = b["met"], []
+        for i, (c, clause) in enumerate(zip(b["class"].to_pylist(), b["clause"].to_pylist(), strict=True)):
+            if c not in sets:
+                sets[c] = frozenset(met[i].as_py())
+            keep.append(_holds(clause, sets[c]))
         mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b["text"].filter(mask), b["class"].filter(mask)], names=["text", "class"])
+        yield pa.RecordBatch.from_arrays([b["clause_id"].filter(mask), b["class"].filter(mask)], names=["clause_id", "class"])
 
 
 # ---- tickets to atoms
@@ -162,20 +200,20 @@ def _probes(families: list[tuple[str, str]]) -> list[Column]:
 
 @dataclass
 class Matches:
-    filters: DataFrame  # filter_id, text, error
-    pairs: DataFrame  # text, class: which forms hold for which classes
+    filters: DataFrame  # filter_id, text, text_id, error
+    pairs: DataFrame  # text_id, class: which texts hold for which classes
     members: DataFrame  # class and the tickets' columns
 
     def rows(self) -> DataFrame:
         """(filter_id, the tickets' columns): one row for each ticket of each filter."""
-        return self.filters.filter("error is null").select("filter_id", "text").join(self.pairs, "text").join(self.members, "class").drop("text", "class")
+        return self.filters.filter("error is null").select("filter_id", "text_id").join(self.pairs, "text_id").join(self.members, "class").drop("text_id", "class")
 
     def totals(self, *sums: str) -> DataFrame:
         """(filter_id, error, n, sums): counted by class and text before filters are looked up. n is null where there is an error."""
         per_class = self.members.groupBy("class").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums))
-        per_text = self.pairs.join(per_class, "class").groupBy("text").agg(*(F.sum(c).alias(c) for c in ("n", *sums)))
+        per_text = self.pairs.join(per_class, "class").groupBy("text_id").agg(*(F.sum(c).alias(c) for c in ("n", *sums)))
         n = F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0))).alias("n")
-        return self.filters.join(per_text, self.filters["text"].eqNullSafe(per_text["text"]), "left").select("filter_id", "error", n, *sums)
+        return self.filters.join(per_text, "text_id", "left").select("filter_id", "error", n, *sums)
 
 
 def match(issues: DataFrame, saved: DataFrame, now: datetime | None = None, columns: tuple[str, ...] = ("ord", "key"), block: int = BLOCK) -> Matches:
@@ -183,40 +221,43 @@ def match(issues: DataFrame, saved: DataFrame, now: datetime | None = None, colu
     spark = issues.sparkSession
     send_package(spark)
     cut = lambda df, label: written(df, shared_path(spark, f"filters-{label}"))
+    numbered = lambda name: F.monotonically_increasing_id().alias(name)  # noqa: E731  stays, as what is numbered is written
     saved = saved.select("filter_id", F.coalesce("text", F.lit("")).alias("text"))
-    parsed = cut(saved.select("text").distinct().mapInArrow(_parse, PARSED), "parsed")
-    atoms = parsed.select(F.explode("atoms").alias("atom")).distinct()
+    parsed = cut(saved.select("text").distinct().mapInArrow(_parse, PARSED).select("*", numbered("text_id")), "parsed")
+    parts = parsed.select("text_id", F.inline("clauses"))
+    clauses = cut(parts.groupBy("clause").agg(F.first("atoms").alias("atoms"), F.first("keys").alias("keys")).select("*", numbered("clause_id")), "clauses")
+    atoms = clauses.select(F.explode("atoms").alias("atom")).distinct()
     kind, field = (F.split_part("atom", F.lit(SEP), F.lit(i)) for i in (1, 2))
     found_by_value = kind.isin(EQUAL, EXACT, ELEMENT)
     families = [(r["kind"], r["field"]) for r in atoms.filter(found_by_value).select(kind.alias("kind"), field.alias("field")).distinct().collect()]  # kinds x fields
     evaluated = sorted(r["atom"] for r in atoms.filter(~found_by_value).collect())
 
-    keep = [c for c in dict.fromkeys((*columns, "key"))]
-    true = [issues.select("key", F.lit(None).cast("string").alias("atom")).limit(0)]
+    keep = list(dict.fromkeys((*columns, "key")))
+    hits = issues.select("key", F.lit(None).cast("string").alias("atom")).limit(0)
     if families:
         probes = issues.select("key", F.explode(F.array_distinct(F.concat(*_probes(families)))).alias("atom"))
-        true.append(probes.join(atoms.filter(found_by_value), "atom").select("key", "atom"))
+        hits = hits.union(probes.join(atoms.filter(found_by_value), "atom").select("key", "atom"))
     for at in range(0, len(evaluated), block):
         tests = [F.when(lang.compile_tree(atom_of(a), now), F.lit(a)) for a in evaluated[at : at + block]]
-        true.append(issues.select("key", F.explode(F.array_compact(F.array(*tests))).alias("atom")))
-    hits = true[0]
-    for t in true[1:]:
-        hits = hits.union(t)
+        hits = hits.union(issues.select("key", F.explode(F.array_compact(F.array(*tests))).alias("atom")))
     sets = hits.groupBy("key").agg(F.sort_array(F.collect_set("atom")).alias("met"))
-    rows = issues.select(*keep).join(sets, "key", "left").withColumn("met", F.coalesce("met", F.array().cast("array<string>")))
-    rows = cut(rows.withColumn("class", F.sha2(F.to_json(F.struct("met")), 256)), "rows")
-    classes = cut(rows.groupBy("class").agg(F.first("met").alias("met"), F.count("*").alias("n")), "classes")
-    return Matches(saved.join(parsed.select("text", "error"), "text"), cut(_pairs(parsed, classes), "pairs"), rows.select(*keep, "class"))
+    rows = cut(issues.select(*keep).join(sets, "key", "left").withColumn("met", F.coalesce("met", F.array().cast("array<string>"))), "rows")
+    classes = cut(rows.groupBy("met").agg(F.count("*").alias("n")).select("*", numbered("class")), "classes")
+    members = rows.join(classes.select("met", "class"), "met").select(*keep, "class")
+    filters = saved.join(parsed.select("text", "text_id", "error"), "text")
+    hold = cut(_clause_classes(clauses, classes), "hold")
+    texts = parts.join(clauses.select("clause", "clause_id"), "clause").select("text_id", "clause_id")
+    return Matches(filters, cut(texts.join(hold, "clause_id").select("text_id", "class").distinct(), "pairs"), members)
 
 
-def _pairs(parsed: DataFrame, classes: DataFrame) -> DataFrame:
-    good = parsed.filter("error is null")
+def _clause_classes(clauses: DataFrame, classes: DataFrame) -> DataFrame:
+    """(clause_id, class) that hold."""
     has = classes.select("class", "n", F.explode("met").alias("atom"))
     tickets = has.groupBy("atom").agg(F.sum("n").alias("n"))
-    choices = good.select("text", F.posexplode("keys").alias("choice", "key")).select("text", "choice", F.explode("key").alias("atom"))
-    cost = choices.join(tickets, "atom", "left").groupBy("text", "choice").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"))
-    chosen = cost.groupBy("text").agg(F.min(F.struct("cost", "choice")).alias("best")).select("text", "best.choice")
-    keyed = choices.join(chosen, ["text", "choice"]).select("text", "atom").join(has.select("class", "atom"), "atom").select("text", "class").distinct()
-    always = good.filter(F.size("keys") == 0).select("text").crossJoin(classes.select("class"))  # texts that hold for most tickets, with the classes
-    tried = keyed.union(always).join(good.select("text", "form"), "text").join(classes.select("class", "met"), "class")
-    return tried.select("text", "class", "met", "form").mapInArrow(_try, "text string, class string")
+    choices = clauses.select("clause_id", F.posexplode("keys").alias("choice", "key")).select("clause_id", "choice", F.explode("key").alias("atom"))
+    cost = choices.join(tickets, "atom", "left").groupBy("clause_id", "choice").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"))
+    chosen = cost.groupBy("clause_id").agg(F.min(F.struct("cost", "choice")).alias("best")).select("clause_id", "best.choice")
+    keyed = choices.join(chosen, ["clause_id", "choice"]).select("clause_id", "atom").join(has.select("class", "atom"), "atom").select("clause_id", "class").distinct()
+    always = clauses.filter(F.size("keys") == 0).select("clause_id").crossJoin(classes.select("class"))  # clauses that hold for most tickets, with the classes
+    tried = keyed.union(always).join(clauses.select("clause_id", "clause"), "clause_id").join(classes.select("class", "met"), "class")
+    return tried.select("clause_id", "class", "met", "clause").mapInArrow(_try, "clause_id long, class long")

@@ -15,6 +15,7 @@ TEXTS = [
     "assignee IS NOT NULL AND assignee != 'ada moss'", "resolution IS EMPTY", "resolution IS NOT EMPTY", "labels IS EMPTY", "labels IS NOT EMPTY", "labels IS NULL", "labels IS NOT NULL", "created >= 2024-01-10", "created < 2024-01-10 AND project = WEB",
     "created >= -30d", "created >= someday", "nosuchfield = 1", "nosuchfield IN (a, b)", "nosuchfield IS NOT NULL", "labels > 3", "resolution = none", "resolution IN (None)", "", None, "   ", "(project = OPS OR project = WEB) AND (labels = login OR key = 'WEB-1')",
     "key = 'OPS-1' OR key IN ('WEB-2', 'WEB-3') OR status = Nowhere", "issuetype = Bug", "status is what", "(status = Done", "priority > High", "assignee = None", "labels = 'a\"b\\c'", "status = Done AND status = Done", "reporter ~ o OR sprint IS NULL",
+    " AND ".join(f"(project = OPS OR labels = l{i} OR priority != p{i})" for i in range(4)) + " AND (status = Done OR project = WEB)",  # too many clauses
 ]
 
 
@@ -59,3 +60,12 @@ def test_keys():
     assert key("status = Done AND priority = Low") == [["=\x1fstatus\x1fdone"], ["=\x1fpriority\x1flow"]]
     assert key("status = Done OR priority = Low") == [["=\x1fpriority\x1flow", "=\x1fstatus\x1fdone"]]
     assert key("status != Done OR priority = Low") == key("") == key("labels NOT IN (a)") == []
+
+
+def test_clauses():
+    of = lambda text: filtertable.clauses_of(filtertable.form_of(filterlang.parse(text).where))
+    a, b, c = ("=\x1fstatus\x1fdone", "=\x1fpriority\x1flow", "in\x1flabels\x1fx")
+    assert of("status = Done AND (priority = Low OR labels != x)") == [({a, b}, set()), ({a}, {c})]
+    assert of("status != Done AND status = Done") == [] and of("") == [(set(), set())]
+    assert of("labels NOT IN (x, y)") == [(set(), {c, "in\x1flabels\x1fy"})]
+    assert of(" AND ".join(f"(status = s{i} OR priority = p{i})" for i in range(9))) is None
