@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.storage import delete, written
 from sieveline.functions.storage import shared_path as shared_dir
+from sieveline.functions.workers import send_package
 
 #: The white space that separates words: space and U+0009 to U+000D, nothing else. ``bytes.split()`` splits on the same set.
 BLANKS = "\t\n\x0b\x0c\r "
@@ -22,20 +17,21 @@ BATCH_BYTES = 8 << 20
 
 
 def reachable(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once an application, bounds their batches in bytes, and lets each query's shuffle files go when it ends."""
+    """Sends this package to the Python workers, bounds their batches in bytes, and lets each query's shuffle files go when it ends."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    if spark.conf.get("sieveline.sent", None):
-        return
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="sieveline-")  # the driver serves the file from here as long as it lives
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = f"{folder}/{package.name}.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(path)
-    spark.conf.set("sieveline.sent", "true")
+    send_package(spark)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.components import connected_components
-from sieveline.llm.shared import Scratch, cut, table
+from sieveline.llm.shared import Scratch, cut, free_names, table
 
 RADIUS = 3
 SHINGLE = 3
@@ -262,7 +262,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = SHARD_POI
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs, all columns as they are, with one row of each component: of least doc id, then of least text hash. Rows without an id can't be named and all stay."""
+    """docs, all columns as they are, with one row of each component: of least doc id, then of least text hash. Rows without an id can't be named and all stay;
+    of rows that are equal in id and text any one stays, with its other columns. Columns of any name may stand beside them."""
+    its_id, its_mark = free_names(docs, "chosen_id", "chosen_mark")
     named = docs.filter("doc_id is not null")
     rows = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     with Scratch(docs.sparkSession) as scratch:
@@ -270,8 +272,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         # a text's component does not depend on its id: the search runs over the different texts, named by their hashes
         found = near_duplicates(marks.select(F.col("mark").alias("doc_id"), "text"), radius).select(F.col("doc_id").alias("mark"), F.col("component_id").alias("part"))
         chosen = rows.select("doc_id", "mark").join(found, "mark").groupBy("part").agg(F.min(F.struct("doc_id", "mark")).alias("c"))
-        chosen = cut(chosen.select(F.col("c.doc_id").alias("_chosen_id"), F.col("c.mark").alias("_chosen_mark")), "simhash-chosen")
-    kept = named.join(chosen, (F.col("doc_id") == F.col("_chosen_id")) & (F.xxhash64("text") == F.col("_chosen_mark")), "left_semi")
+        chosen = cut(chosen.select(F.col("c.doc_id").alias(its_id), F.col("c.mark").alias(its_mark)), "simhash-chosen")
+    kept = named.join(chosen, (F.col("doc_id") == F.col(its_id)) & (F.xxhash64("text") == F.col(its_mark)), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns).union(docs.filter("doc_id is null"))
 
 

@@ -165,3 +165,23 @@ def test_pipeline(spark, sf_dir, duck):
     for r in pieces:
         used[r["sequence_id"]] += r["length"]
     assert max(used.values()) <= packing.WINDOW and all(sum(p["length"] for p in pieces if p["doc_id"] == d) == next(p["doc_tokens"] for p in pieces if p["doc_id"] == d) for d in list(kept)[:20])
+
+
+def test_pipeline_edge_cases(spark, sf_dir, duck):
+    """An empty table, and one with repeated rows, nulls, a long text and columns of clashing names, through all stages."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    extra = {n: F.lit(7) for n in ("chosen_id", "_chosen_id", "mark", "score", "root", "point", "label", "features")}
+    some = docs.limit(6).withColumns(extra)
+    odd = [docs.limit(1).select(*(F.lit(v).cast(dict(docs.dtypes)[c]).alias(c) if c == n else F.col(c) for c in docs.columns)).withColumns(extra) for n, v in (("doc_id", None), ("text", None), ("text", ""))]
+    many = some.union(some.limit(2)).union(odd[0]).union(odd[1].withColumn("doc_id", F.lit(10_001).cast("long"))).union(odd[2].withColumn("doc_id", F.lit(10_002).cast("long")))
+    many = many.union(some.limit(1).withColumn("doc_id", F.lit(10_003).cast("long")).withColumn("text", F.repeat("text", 200)))
+    for now in (many, many.limit(0)):
+        now = spark.createDataFrame(now.collect(), now.schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, sf_dir)
+            assert out.columns == now.columns
+            now = spark.createDataFrame(out.collect(), now.schema)
+        rows = now.collect()
+        assert len({(r["doc_id"], r["text"]) for r in rows if r["doc_id"] is not None}) == sum(r["doc_id"] is not None for r in rows)
+        packed = {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, now, sf_dir).collect()}
+        assert packed == {r["doc_id"] for r in rows}
