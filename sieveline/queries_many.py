@@ -13,13 +13,13 @@ from sieveline.sources import tables
 FORMS = (
     ("assignee = '{name}' AND status != Done", "assignee = c_name AND status <> 'Done'"),
     ("assignee = '{name}' OR key = 'ASIA-{n}'", "assignee = c_name OR key = 'ASIA-' || c_custkey"),
-    ("priority IN (Critical, High) AND labels = 'promo plated steel'", "priority IN ('Critical', 'High') AND list_contains(labels, 'promo plated steel')"),
+    ("priority IN (Critical, High) AND labels = 'promo'", "priority IN ('Critical', 'High') AND list_contains(labels, 'promo')"),
     ("(project = asia OR project = EUROPE) AND assignee = '{name}' ORDER BY created DESC", "split_part(key, '-', 1) IN ('ASIA', 'EUROPE') AND assignee = c_name"),
     ("assignee IS NULL AND resolution = fixed", "assignee IS NULL AND resolution = 'Fixed'"),
     ("summary ~ FURN AND created >= 1998-01-01", "contains(summary, 'furn') AND created_at >= TIMESTAMP '1998-01-01'"),
     ("", "true"),
     ("status is whatever", "false"),
-    ("labels IN (promo plated steel, small burnished tin) AND issuetype != Bug", "list_has_any(labels, ['promo plated steel', 'small burnished tin']) AND (type IS NULL OR type <> 'Bug')"),
+    ("labels IN (promo, small) AND issuetype != Bug", "list_has_any(labels, ['promo', 'small']) AND (type IS NULL OR type <> 'Bug')"),
     ("resolution NOT IN (Fixed) AND (components = 'Brand#11' OR assignee = '{name}') AND created < -200d", "(resolution IS NULL OR resolution <> 'Fixed') AND (list_contains(components, 'Brand#11') OR assignee = c_name) AND created_at < TIMESTAMP '1997-08-13 06:00:00'"),
     ("assignee IN ({name}, nobody) AND description IS NOT EMPTY", "assignee = c_name AND description <> ''"),
 )
