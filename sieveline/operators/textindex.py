@@ -43,13 +43,13 @@ class TextIndex:
     norms: DataFrame  # key, norm
 
 
-#: Postings in one Arrow batch that leaves the counting.
-BATCH = 100_000
+#: Terms in one Arrow batch that leaves the counting.
+BATCH = 200_000
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(key, ord, term, tf): the counts of `tokens` by document. A document is counted where its row is, in Arrow batches, so nothing is exchanged and
-    a text is cut into words once whatever is asked of the counts."""
+def document_counts(docs: DataFrame) -> DataFrame:
+    """(key, ord, terms, tfs), a row a document: the counts of `tokens`. A document is counted where its row is, in Arrow batches, so nothing is exchanged
+    and a text is cut into words once whatever is asked of the counts."""
     stops = frozenset(STOPWORDS)
     most = BATCH
 
@@ -62,26 +62,35 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
         words = re.compile("[a-z0-9]+").findall
 
-        def out(b: pa.RecordBatch, rows: list[int], sizes: list[int], terms: list[str], tfs: list[int]) -> pa.RecordBatch:
-            at = pa.array(np.repeat(rows, sizes))
-            return pa.RecordBatch.from_arrays([b["key"].take(at), b["ord"].take(at), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], names=["key", "ord", "term", "tf"])
+        def out(b: pa.RecordBatch, first: int, sizes: list[int], terms: list[str], tfs: list[int]) -> pa.RecordBatch:
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in ((terms, pa.string()), (tfs, pa.int64()))]
+            return pa.RecordBatch.from_arrays([b["key"].slice(first, len(sizes)), b["ord"].slice(first, len(sizes)), *lists], names=["key", "ord", "terms", "tfs"])
 
         for b in batches:
-            rows, sizes, terms, tfs = [], [], [], []
+            first, sizes, terms, tfs = 0, [], [], []
             for i, text in enumerate(b["text"].to_pylist()):
                 found = {w: n for w, n in Counter(words(text)).items() if len(w) > 1 and w not in stops}
-                rows.append(i)
                 sizes.append(len(found))
                 terms += found
                 tfs += found.values()
                 if len(terms) >= most:
-                    yield out(b, rows, sizes, terms, tfs)
-                    rows, sizes, terms, tfs = [], [], [], []
-            if terms:
-                yield out(b, rows, sizes, terms, tfs)
+                    yield out(b, first, sizes, terms, tfs)
+                    first, sizes, terms, tfs = i + 1, [], [], []
+            if sizes:
+                yield out(b, first, sizes, terms, tfs)
 
     lowered = docs.select(F.col("key").cast("string").alias("key"), F.col("ord").cast("long").alias("ord"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    return lowered.mapInArrow(run, "key string, ord long, term string, tf long")
+    return lowered.mapInArrow(run, "key string, ord long, terms array<string>, tfs array<long>")
+
+
+def _by_term(counted: DataFrame) -> DataFrame:
+    return counted.select("key", "ord", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(key, ord, term, tf): `document_counts`, a row a term."""
+    return _by_term(document_counts(docs))
 
 
 def inverse_frequencies(counts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -115,7 +124,7 @@ def store(docs: DataFrame, path: str) -> TextIndex:
     """`build`, each part written below path once and read from there: counts in document order with a Bloom filter over keys, the rest by term. The
     texts are read once; idf, norms and postings are made of the written counts, and only the norms need a join."""
     part = lambda df, name, **options: written(df, f"{path}/{name}", **options)
-    counts = part(term_counts(docs), "counts", **{"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
+    counts = _by_term(part(document_counts(docs), "counts", **{"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}))
     idf = part(inverse_frequencies(counts, docs).repartitionByRange("term").sortWithinPartitions("term"), "idf")
     norms = part(lengths(weights(counts, idf)), "norms")
     postings = part(counts.repartitionByRange("term", "ord").sortWithinPartitions("term", "ord"), "postings")
