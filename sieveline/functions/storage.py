@@ -20,8 +20,19 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: While this holds, the shuffle files of a query go when it ends, and not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, path: str, **options: str) -> DataFrame:
-    df.write.options(**options).parquet(path)
+    """Writes df and reads it again; what it was shuffled to on the way is gone then. The session's setting stays as it was."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
