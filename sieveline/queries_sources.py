@@ -11,7 +11,7 @@ from sieveline.queries import Query
 from sieveline.sources import bigjson, tables
 from sieveline.sources.issues import ISSUE, Corpus
 
-#: Bytes of a range: small, so that the small tables have several.
+#: Least bytes of a range: small, so that the small tables have several.
 RANGE = 256 << 10
 _WRITTEN: dict[tuple, str] = {}
 
@@ -34,7 +34,8 @@ def json_corpus(spark: SparkSession, d: str) -> Corpus:
         listed = {"projects": [{"key": p, "name": p.title()} for p in tables.DOMAINS.projects], "statuses": list(tables.DOMAINS.statuses), "priorities": list(tables.DOMAINS.priorities), "issue_types": list(tables.DOMAINS.types)}
         bigjson.write_object(path, {"issues": issues}, listed)
 
-    return bigjson.load_corpus(spark, _object(spark, d, "corpus", write), RANGE)
+    path = _object(spark, d, "corpus", write)
+    return bigjson.load_corpus(spark, path, bigjson.range_bytes_for(path, RANGE))
 
 
 def json_profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +54,8 @@ def json_profiles(spark: SparkSession, d: str) -> DataFrame:
         rows = tables.read(spark, d, "customer").select(n.alias("ord"), F.col("c_name").alias("member"), F.to_json(profile).alias("element"))
         bigjson.write_object(path, {"permissions": rows})
 
-    return bigjson.load_profiles(spark, _object(spark, d, "profiles", write), RANGE)
+    path = _object(spark, d, "profiles", write)
+    return bigjson.load_profiles(spark, path, bigjson.range_bytes_for(path, RANGE))
 
 
 def src_issues(spark: SparkSession, d: str) -> DataFrame:

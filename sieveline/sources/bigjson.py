@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -106,27 +107,54 @@ class Summary:
     opened: list[Open] = field(default_factory=list)
 
 
+_KINDS = np.zeros(256, np.int8)
+for _c, _k in (("[", 1), ("{", 1), ("]", -1), ("}", -1), (",", 2)):
+    _KINDS[ord(_c)] = _k
+
+
+def _marks(raw: bytes, escaped: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Places of brackets and commas, their kinds (1 opens, -1 closes, 2 a comma), the number of string bounds before each, and of all. escaped: an odd run
+    of backslashes stands before raw."""
+    a = np.frombuffer(raw, np.uint8)
+    quotes = np.flatnonzero(a == 34)
+    behind = quotes[(quotes > 0) & (a[quotes - 1] == 92)] if len(quotes) else quotes
+    if len(behind):
+        slashes = np.flatnonzero(a == 92)
+        runs = slashes[np.diff(slashes, prepend=-2) > 1]  # where runs of backslashes begin
+        begins = runs[np.searchsorted(runs, behind - 1, "right") - 1]
+        odd = (behind - begins + ((begins == 0) & escaped)) % 2 == 1
+        quotes = np.setdiff1d(quotes, behind[odd], assume_unique=True)
+    if escaped and len(quotes) and quotes[0] == 0:
+        quotes = quotes[1:]
+    kinds = _KINDS[a]
+    at = np.flatnonzero(kinds)
+    return at, kinds[at], np.searchsorted(quotes, at), len(quotes)
+
+
+def _steps(kinds: np.ndarray) -> np.ndarray:
+    """How many more containers are open behind each mark than at the entry."""
+    return np.cumsum(np.where(kinds == 2, 0, kinds), dtype=np.int64)
+
+
+def _summary(raw: bytes, start: int, inside: bool, marks: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> Summary:
+    at, kinds, bounds, n = marks
+    out = (bounds + inside) % 2 == 0
+    at, kinds = at[out], kinds[out]
+    depth = _steps(kinds)
+    lowest = np.minimum(np.minimum.accumulate(depth), 0) if len(depth) else depth
+    comma = kinds == 2
+    closed = int(-lowest[-1]) if len(depth) else 0
+    levels = np.bincount(-lowest[comma & (depth == lowest)], minlength=closed + 1).tolist()
+    least_behind = np.minimum.accumulate(depth[::-1])[::-1]
+    opened = []
+    for i in np.flatnonzero((kinds == 1) & (least_behind >= depth)).tolist():
+        commas = int(np.count_nonzero(comma[i:] & (depth[i:] == depth[i])))
+        opened.append(Open(chr(raw[at[i]]), start + int(at[i]), commas))
+    return Summary((n + inside) % 2 == 1, levels, opened)
+
+
 def summarise(raw: bytes, start: int, inside: bool, escaped: bool) -> Summary:
-    s, at = Summary(), 0
-    if inside:
-        at = _string_end(raw, int(escaped))
-    while at >= 0 and (m := _MARKS.search(raw, at)):
-        c, at = m[0], m.end()
-        if c == b'"':
-            at = _string_end(raw, at)
-        elif c in b"[{":
-            s.opened.append(Open(c.decode(), start + m.start()))
-        elif c == b",":
-            if s.opened:
-                s.opened[-1].commas += 1
-            else:
-                s.levels[-1] += 1
-        elif s.opened:
-            s.opened.pop()
-        else:
-            s.levels.append(0)
-    s.inside = at < 0
-    return s
+    return _summary(raw, start, inside, _marks(raw, escaped))
 
 
 def entered(stack: list[Open], s: Summary) -> list[Open]:
@@ -182,82 +210,108 @@ class Walker:
 
     def elements(self) -> Iterator[tuple[Open, str]]:
         """Its container, whose commas are the element's position, and its text."""
-        depth, second, at = self.depth, self.second, 0
-        if self.inside:
-            at = self.string(int(self.text.escaped(self.start)))
-        while at < self.limit and (m := _MARKS.search(self.raw, at)) and m.start() < self.limit:
-            c, at, begins = m[0], m.end(), False
-            if c == b'"':
-                at = self.string(at)
-            elif c in b"[{":
-                depth += 1
-                if depth == 2:
-                    second, begins = Open(c.decode(), self.start + m.start()), True
-            elif c == b",":
-                if depth == 2:
-                    second.commas += 1
-                    begins = True
-            else:
-                depth -= 1
-            if begins:
-                to = self.value(at)
-                found = self.raw[at:to].strip(b" \t\r\n")
-                if found:
-                    yield second, found.decode()
-                at = to
+        at, kinds, bounds, _ = _marks(self.raw[: self.limit], self.inside and self.text.escaped(self.start))
+        out = (bounds + self.inside) % 2 == 0
+        at, kinds = at[out], kinds[out]
+        depth = self.depth + _steps(kinds)
+        opens = (kinds == 1) & (depth == 2)
+        begins = opens | ((kinds == 2) & (depth == 2))
+        edges = begins | ((kinds == -1) & (depth == 1))
+        at, opens, begins = at[edges].tolist(), opens[edges].tolist(), begins[edges].tolist()
+        second, last = self.second, len(at) - 1
+        for i, (a, new, begin) in enumerate(zip(at, opens, begins, strict=True)):
+            if not begin:
+                continue
+            second = Open(chr(self.raw[a]), self.start + a) if new else Open(second.kind, second.at, second.commas + 1)
+            to = at[i + 1] if i < last else self.value(a + 1)  # which may read on
+            found = self.raw[a + 1 : to].strip(b" \t\r\n")
+            if found:
+                yield second, found.decode()
 
 
 ELEMENTS = "name string, ord long, member string, element string"
 
 
-def elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(name, ord, member, element): name of the top's member, position in it from 0, name of the element where it has one, its JSON text."""
+@dataclass
+class Range:
+    """With what a range is entered, and the one container at the second level that it lies in as a whole, if it does."""
+
+    number: int
+    inside: bool
+    depth: int
+    second: Open | None
+    whole: bool
+
+
+def _bounds(k: int, size: int, range_bytes: int) -> tuple[int, int]:
+    return k * range_bytes, min(size, (k + 1) * range_bytes)
+
+
+def _name_of(text: Text, at: int) -> str:
+    """The name that stands before a container."""
+    m = text.before(at, _NAME)
+    return json.loads(b'"' + m[1] + b'"') if m else ""
+
+
+def ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> list[Range]:
+    """The first reading: all ranges in order."""
     send_package(spark)
-    text = Text(path)
-    size = text.size
+    size = Text(path).size
     n = max(1, -(-size // range_bytes))
-    bounds = lambda k: (k * range_bytes, min(size, (k + 1) * range_bytes))
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Text(path)
         for b in batches:
             for k in b["id"].to_pylist():
-                start, end = bounds(k)
-                raw, behind = own.read(start, end), own.escaped(start)
-                found = [summarise(raw, start, inside, behind) for inside in (False, True)]
+                start, end = _bounds(k, size, range_bytes)
+                raw = own.read(start, end)
+                marks = _marks(raw, own.escaped(start))
+                found = [_summary(raw, start, inside, marks) for inside in (False, True)]
                 said = [json.dumps([s.inside, s.levels, [[o.kind, o.at, o.commas] for o in s.opened]]) for s in found]
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array(said[:1]), pa.array(said[1:])], names=["number", "outside", "within"])
 
-    ranges = spark.range(0, n, 1, n)
-    said = {r["number"]: r for r in ranges.mapInArrow(summaries, "number long, outside string, within string").collect()}  # a small row a range
-    entries, inside, stack = [], False, []
+    numbers = spark.range(0, n, 1, n)
+    said = {r["number"]: r for r in numbers.mapInArrow(summaries, "number long, outside string, within string").collect()}  # a small row a range
+    out, inside, stack = [], False, []
     for k in range(n):
-        second = stack[1] if len(stack) > 1 else None
-        entries.append((k, inside, len(stack), second.kind if second else None, second.at if second else None, second.commas if second else None))
-        inside, levels, opened = json.loads(said[k]["within" if inside else "outside"])
-        stack = entered(stack, Summary(inside, levels, [Open(*o) for o in opened]))
+        into, levels, opened = json.loads(said[k]["within" if inside else "outside"])
+        out.append(Range(k, inside, len(stack), stack[1] if len(stack) > 1 else None, len(levels) < len(stack)))
+        inside, stack = into, entered(stack, Summary(into, levels, [Open(*o) for o in opened]))
     if inside or stack:
         raise ValueError(f"{path} ends inside a {'string' if inside else 'value'}")
+    return out
+
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, names = Text(path), {}
+def cut(spark: SparkSession, path: str, found: list[Range], range_bytes: int, names: tuple[str, ...] | None = None) -> DataFrame:
+    """The second reading: `elements`. names: only those of these members of the top; ranges that lie in another member are not read."""
+    text = Text(path)
+    size = text.size
+    if names is not None:
+        known = {at: _name_of(text, at) for at in {r.second.at for r in found if r.whole}}
+        found = [r for r in found if not r.whole or known[r.second.at] in names]
+    entries = [(r.number, r.inside, r.depth, r.second.kind if r.second else None, r.second.at if r.second else None, r.second.commas if r.second else None) for r in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = Text(path), {}
 
         def name_of(o: Open) -> str:
-            if o.at not in names:
-                m = own.before(o.at, _NAME)
-                names[o.at] = json.loads(b'"' + m[1] + b'"') if m else ""
-            return names[o.at]
+            if o.at not in seen:
+                seen[o.at] = _name_of(own, o.at)
+            return seen[o.at]
 
         for b in batches:
             for k, inside, depth, kind, at, commas in zip(*(b[c].to_pylist() for c in b.schema.names), strict=True):
                 rows, held = [], 0
-                for o, e in Walker(own, *bounds(k), inside, depth, Open(kind, at, commas) if kind else None).elements():
+                for o, e in Walker(own, *_bounds(k, size, range_bytes), inside, depth, Open(kind, at, commas) if kind else None).elements():
+                    name = name_of(o)
+                    if names is not None and name not in names:
+                        continue
                     member = None
                     if o.kind == "{":
-                        to = _string_end(e.encode(), 1)
                         raw = e.encode()
+                        to = _string_end(raw, 1)
                         member, e = json.loads(raw[:to]), _SPACE.sub(b"", raw[to:], count=1)[1:].strip(b" \t\r\n").decode()
-                    rows.append((name_of(o), o.commas, member, e))
+                    rows.append((name, o.commas, member, e))
                     held += len(e)
                     if held >= BATCH_BYTES:
                         yield out(rows)
@@ -270,15 +324,25 @@ def elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) ->
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["name", "ord", "member", "element"])
 
     told = spark.createDataFrame(entries, "number long, inside boolean, depth int, kind string, at long, commas long")
-    return told.repartition(n, "number").mapInArrow(cut, ELEMENTS)
+    return told.repartition(max(1, len(entries)), "number").mapInArrow(run, ELEMENTS)
+
+
+def elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(name, ord, member, element): name of the top's member, position in it from 0, name of the element where it has one, its JSON text."""
+    return cut(spark, path, ranges(spark, path, range_bytes), range_bytes)
+
+
+def range_bytes_for(path: str, least: int, count: int = 256) -> int:
+    """A size of ranges that gives about `count` of them, from `least` up to RANGE_BYTES: tasks grow with the text only where it is very long."""
+    return max(least, min(RANGE_BYTES, -(-Text(path).size // count)))
 
 
 def load_corpus(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Corpus:
     """`issues.load_corpus` by ranges: the same rows with the same positions. Only the declared domains come to the driver."""
-    found = elements(spark, path, range_bytes)
-    issues = found.filter("name = 'issues'").select("ord", F.from_json("element", CORPUS["issues"].dataType.elementType).alias("i"))
+    found = ranges(spark, path, range_bytes)
+    issues = cut(spark, path, found, range_bytes, ("issues",)).select("ord", F.from_json("element", CORPUS["issues"].dataType.elementType).alias("i"))
     declared: dict[str, list] = {"statuses": [], "priorities": [], "issue_types": [], "projects": []}
-    for r in found.filter(F.col("name").isin(list(declared))).orderBy("name", "ord").collect():
+    for r in cut(spark, path, found, range_bytes, tuple(declared)).orderBy("name", "ord").collect():
         v = json.loads(r["element"])
         declared[r["name"]].append(v["key"] if isinstance(v, dict) else v)
     return Corpus(normalise(issues.select("ord", "i.*")), Domains(*map(tuple, (declared["projects"], declared["statuses"], declared["priorities"], declared["issue_types"]))))
@@ -286,7 +350,7 @@ def load_corpus(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
 
 def load_profiles(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """`issues.load_profiles` by ranges."""
-    found = elements(spark, path, range_bytes).filter("name = 'permissions'")
+    found = cut(spark, path, ranges(spark, path, range_bytes), range_bytes, ("permissions",))
     return with_defaults(found.select(F.col("member").alias("user_id"), F.from_json("element", PROFILE).alias("p")).select("user_id", "p.*"))
 
 
@@ -306,9 +370,9 @@ def write_object(path: str, members: dict[str, DataFrame], listed: dict[str, lis
     for k, (name, rows) in enumerate(members.items()):
         named = "member" in rows.columns
         mark(f"{k:03d}-0", f"{before}{json.dumps(name)}: {'{' if named else '['}")
-        first = rows.agg(F.min("ord")).first()[0]
         quoted = F.regexp_extract(F.to_json(F.array("member")), r"(?s)^\[(.*)\]$", 1) if named else None
-        line = F.concat(F.when(F.col("ord") == first, "").otherwise(","), *([quoted, F.lit(":")] if named else []), "element")
+        # the first row of the first range has the number 0
+        line = F.concat(F.when(F.monotonically_increasing_id() == 0, "").otherwise(","), *([quoted, F.lit(":")] if named else []), "element")
         rows.repartitionByRange("ord").sortWithinPartitions("ord").select(line.alias("value")).write.text(f"{path}/_{k}")
         parts = sorted(s.getPath().getName() for s in fs.listStatus(at(f"{path}/_{k}")))
         for p in (p for p in parts if p.startswith("part-")):

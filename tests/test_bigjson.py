@@ -74,3 +74,16 @@ def test_written_in_parts(spark, tmp_path):
     text = bigjson.Text(str(tmp_path / "o"))
     whole = json.loads(text.read(0, text.size))
     assert set(whole) == {"xs", "none", "ys", "statuses"} and whole["ys"]['m"2'] == {"id": 2, "t": 'a "b" ,'}
+
+
+def test_only_ranges_of_asked_members_are_read(spark, tmp_path):
+    """The declared domains of a large object lie in few of its ranges, and a first row that is there twice gets one comma."""
+    rows = spark.range(500).select(F.greatest(F.col("id"), F.lit(1)).alias("ord"), F.to_json(F.struct("id")).alias("element"))
+    path = str(tmp_path / "o")
+    bigjson.write_object(path, {"xs": rows}, {"statuses": ["a", "b"]})
+    found = bigjson.ranges(spark, path, 200)
+    few = bigjson.cut(spark, path, found, 200, ("statuses",))
+    assert [r["element"] for r in few.orderBy("ord").collect()] == ['"a"', '"b"']
+    assert few.rdd.getNumPartitions() <= 2 < len(found)
+    assert bigjson.cut(spark, path, found, 200, ("xs",)).count() == 500
+    assert bigjson.range_bytes_for(path, 100) == 100 and bigjson.range_bytes_for(path, 1, 2) > 1000
