@@ -69,3 +69,12 @@ def test_clauses():
     assert of("status != Done AND status = Done") == [] and of("") == [(set(), set())]
     assert of("labels NOT IN (x, y)") == [(set(), {c, "in\x1flabels\x1fy"})]
     assert of(" AND ".join(f"(status = s{i} OR priority = p{i})" for i in range(9))) is None
+
+
+def test_texts_share_what_their_common_clauses_match(spark, issues):
+    """Pairs grow with the texts and with the classes, not with their product: a clause in a hundred texts has its classes once."""
+    saved = spark.createDataFrame([(i, f"status != Nowhere OR key = 'OPS-{i}' OR assignee = 'Person {i}'") for i in range(100)], "filter_id int, text string")
+    found = filtertable.match(issues, saved, NOW)
+    n = issues.count()
+    assert found.base_pairs.count() + found.own_pairs.count() <= n < 100 * n == found.rows().count()
+    assert {r["n"] for r in found.totals().collect()} == {n}
