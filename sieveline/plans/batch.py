@@ -4,7 +4,7 @@ Questions are reduced to what their answers depend on. A plan is a mode with its
 (`access.classify`) and whether a count is asked for. Filters of all plans are matched at once (`filtertable`), search texts are one batch, rows are
 decided by classes, and answers are made and checked once a case; questions look theirs up. Which rows come first in an answer is found in
 `SALTS` parts of a case and then among the best of each, so no case is sorted in one task, but for the ranks of a hybrid's hits, which are
-positions among all hits of its text. A list for an answer that fails its check holds all its rows, as it is defined.
+positions among all hits of its text. The result is a join of the questions with the cases' texts, made when it is read. A list for an answer that fails its check holds all its rows, as it is defined.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from sieveline.plans.router import CLARIFY_TEXT, DEFAULT_DOMAINS, Mode, route
 from sieveline.sources.issues import Corpus, Domains
 
 SALTS = 64
+COPIES = 8
 FIRST = 5
 #: Hits come before all other rows of a hybrid.
 _AHEAD = -(1 << 62)
@@ -76,9 +77,11 @@ def ask_all(corpus: Corpus, index: textindex.TextIndex, profiles: DataFrame, que
     validation_passed, validation_errors, warnings, errors. A null query is an empty one."""
     spark, paths = questions.sparkSession, []
 
-    def cut(df: DataFrame, label: str) -> DataFrame:
-        paths.append(shared_path(spark, f"questions-{label}"))
-        return written(df, paths[-1])
+    def cut(df: DataFrame, label: str, read_by_result: bool = False) -> DataFrame:
+        path = shared_path(spark, f"questions-{label}")
+        if not read_by_result:
+            paths.append(path)
+        return written(df, path)
 
     issues = corpus.issues
     query = F.coalesce("query", F.lit(""))
@@ -87,7 +90,7 @@ def ask_all(corpus: Corpus, index: textindex.TextIndex, profiles: DataFrame, que
     routed = routed.withColumn("plan", F.when(F.col("mode") != Mode.CLARIFY.value, _digest("mode", "jql_query", "semantic_query")))
     classes = access.classify(issues, routed.select("user_id"), profiles)
     members = classes.members.withColumnRenamed("user_id", "_user")
-    asked = cut(routed.join(members, F.col("user_id").eqNullSafe(F.col("_user"))).drop("_user").withColumn("answer_id", F.when(F.col("plan").isNotNull(), _digest("plan", "profile_class", "counting"))), "asked")
+    asked = cut(routed.join(members, F.col("user_id").eqNullSafe(F.col("_user"))).drop("_user").withColumn("answer_id", F.when(F.col("plan").isNotNull(), _digest("plan", "profile_class", "counting"))), "asked", True)
 
     plans = asked.filter("plan is not null").select("plan", "mode", "jql_query", "semantic_query").distinct()
     found, broken = retrieve(issues, index, plans)
@@ -96,7 +99,7 @@ def ask_all(corpus: Corpus, index: textindex.TextIndex, profiles: DataFrame, que
     decided = found.join(tickets, "key").join(seen_by, "plan").join(classes.decisions.select("ticket_class", "profile_class", "deny_reason"), ["ticket_class", "profile_class"])
     decided = cut(decided.select("plan", "profile_class", *ROW, "o", "deny_reason"), "decided")
     allowed = F.col("deny_reason").isNull()
-    counts = cut(decided.groupBy("plan", "profile_class").agg(F.count("*").alias("before"), F.count_if(allowed).alias("after"), F.min(F.when(allowed, F.col("o"))).alias("least_o")), "counts")
+    counts = cut(decided.groupBy("plan", "profile_class").agg(F.count("*").alias("before"), F.count_if(allowed).alias("after"), F.min(F.when(allowed, F.col("o"))).alias("least_o")), "counts", True)
 
     cases = cut(asked.filter("plan is not null").select("answer_id", "plan", "profile_class", "counting").distinct(), "cases")
     shown = _placed(decided.filter(allowed).drop("deny_reason").join(counts.select("plan", "profile_class", "least_o"), ["plan", "profile_class"]))
@@ -109,8 +112,13 @@ def ask_all(corpus: Corpus, index: textindex.TextIndex, profiles: DataFrame, que
     checked = answers.join(wrong, "answer_id", "left").join(lists, "answer_id", "left")
     failed = F.col("validation_errors").isNotNull()
     checked = checked.select("answer_id", F.when(failed, F.coalesce("list", F.lit(grounding.EMPTY_TEXT))).otherwise(F.col("text")).alias("text"), F.coalesce("validation_errors", F.array().cast("array<string>")).alias("validation_errors"))
+    # a row a case; a list may be long, so few of them share a file and a batch of its reader
+    checked = cut(checked.repartition("answer_id"), "checked", True)
 
-    out = asked.join(counts, ["plan", "profile_class"], "left").join(checked, "answer_id", "left").join(broken, "jql_query", "left")
+    # a text meets its questions when the result is read and stands nowhere once a question; those of one case are dealt to COPIES tasks
+    copy = F.pmod(F.xxhash64("question_id"), F.lit(COPIES)).alias("copy")
+    texts = checked.select("*", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)).cast("array<bigint>")).alias("copy"))
+    out = asked.select("*", copy).join(counts, ["plan", "profile_class"], "left").join(texts, ["answer_id", "copy"], "left").join(broken, "jql_query", "left")
     clarify, unread = F.col("plan").isNull(), F.col("error").isNotNull()
     hidden = F.coalesce(F.col("before") - F.col("after"), F.lit(0))
     none = F.array().cast("array<string>")
@@ -128,7 +136,6 @@ def ask_all(corpus: Corpus, index: textindex.TextIndex, profiles: DataFrame, que
         F.when((hidden > 0) & F.lit(tell_hidden), F.array(F.format_string("%d issue(s) hidden due to permissions", hidden))).otherwise(none).alias("warnings"),
         F.when(unread, F.array(problem)).otherwise(none).alias("errors"),
     )
-    result = written(result, shared_path(spark, "questions-answered"))
     for p in paths:
         delete(spark, p)
     return result

@@ -51,3 +51,13 @@ def test_no_questions_and_no_tickets(spark, world):
     index = textindex.build(textindex.document_text(empty.issues))
     some = spark.createDataFrame([(1, "Show done issues", "boss"), (2, "tickets about disks", "boss")], "question_id long, query string, user_id string")
     assert [(r["question_id"], r["total_count"], r["answer"]) for r in batch.ask_all(empty, index, profiles, some, domains).orderBy("question_id").collect()] == [(1, 0, batch.grounding.NO_RESULT_TEXT), (2, 0, batch.grounding.NO_RESULT_TEXT)]
+
+
+def test_a_text_stands_once_a_case(spark, world):
+    """Forty askers of one question share the one text that is written, however long its list is."""
+    a, corpus, profiles, domains = world
+    df = spark.createDataFrame([(i, QUESTIONS[0], "boss") for i in range(40)], "question_id long, query string, user_id string")
+    got = batch.ask_all(corpus, a.index, profiles, df, domains)
+    texts = {f.rsplit("/", 1)[0] for f in got.inputFiles() if "questions-checked" in f}
+    assert len(texts) == 1 and spark.read.parquet(*texts).count() == 1
+    assert got.count() == 40 and got.select("answer").distinct().count() == 1
