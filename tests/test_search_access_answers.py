@@ -257,3 +257,17 @@ def test_column_and_driver_routes_agree_on_white_space(spark):
     for q in asked:
         r = router.classify(q)
         assert (got[q]["mode"], got[q]["jql_query"], got[q]["semantic_query"]) == (r.mode.value, r.jql_query, r.semantic_query), q
+
+
+def test_filters_open_no_index(world):
+    """A question that only filters asks for no index; a search opens it once."""
+    corpus, profiles, a = world
+    opened = []
+
+    def index():
+        opened.append(1)
+        return a.index
+
+    b = assistant.Assistant(corpus, profiles, a.route_domains, index=index)
+    assert b.retrieve(assistant.Mode.JQL, "status = done", None).columns and not opened
+    assert b.retrieve(assistant.Mode.SEMANTIC, None, "disk full").columns and b.index is a.index and opened == [1]
