@@ -44,8 +44,9 @@ def chg_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chg_idf(spark: SparkSession, d: str) -> DataFrame:
-    """Document frequencies as sums of differences."""
-    return changed_index(spark, d).open(AFTER_CHANGES).idf.select("term", "df", F.round("idf", 6).alias("idf"))
+    """Document frequencies as sums of differences; no norms are asked for."""
+    index = changed_index(spark, d)
+    return index.idf(index.version(AFTER_CHANGES)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def chg_merged(spark: SparkSession, d: str) -> DataFrame:

@@ -271,3 +271,21 @@ def test_filters_open_no_index(world):
     b = assistant.Assistant(corpus, profiles, a.route_domains, index=index)
     assert b.retrieve(assistant.Mode.JQL, "status = done", None).columns and not opened
     assert b.retrieve(assistant.Mode.SEMANTIC, None, "disk full").columns and b.index is a.index and opened == [1]
+
+
+def test_rare_terms_alone_are_exchanged_for_lengths(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"A-{i}", f"common word{i % 3} rare{i} " * (i % 4)) for i in range(40)] + [(50, "B-1", None)], "ord long, key string, text string")
+    want = {r["key"]: r["norm"] for r in textindex.build(docs).norms.collect()}
+    for common in (0, 4, 1000):
+        monkeypatch.setattr(textindex, "COMMON", common)
+        monkeypatch.setattr(textindex, "BLOCK", 7)
+        index = textindex.store(docs, str(tmp_path / str(common)))
+        assert {r["key"]: pytest.approx(r["norm"]) for r in index.norms.collect()} == want
+        assert sorted(map(tuple, index.postings.collect())) == sorted(map(tuple, index.counts.collect()))
+
+
+def test_similar_reads_its_own_terms(spark, tmp_path):
+    """The document's terms are in the scan's filter; no other posting is read or exchanged."""
+    docs = spark.createDataFrame([(i, f"A-{i}", f"disk w{i % 5} v{i}") for i in range(20)], "ord long, key string, text string")
+    plan = textindex.similar(textindex.store(docs, str(tmp_path / "i")), "A-3")._jdf.queryExecution().executedPlan().toString()
+    assert "In(term" in plan
