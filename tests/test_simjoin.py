@@ -80,3 +80,19 @@ def test_empty_index(spark, tmp_path):
     none = textindex.store(spark.createDataFrame([], "ord long, key string, text string"), str(tmp_path / "i"))
     asked = spark.createDataFrame([("a", "w1")], "query_id string, text string")
     assert textindex.search_batch(none, asked).count() == 0
+
+
+@pytest.mark.parametrize("dense", [0, 5])
+def test_blocks(spark, texts, index, monkeypatch, dense):
+    """Many blocks of queries and small chunks of documents give all pairs' best; postings are not exchanged."""
+    for name, value in (("BLOCK_TERMS", 600), ("CELLS", 300), ("DENSE", dense)):
+        monkeypatch.setattr(simjoin, name, value)
+    keys = list(texts)[::5]
+    rows = spark.createDataFrame([(k,) for k in keys], "key string")
+    assert collected(textindex.similar_batch(index, rows, 4, 0.2)) == plain(texts, {k: texts[k] for k in keys}, 4, 0.2, itself=False)
+
+
+def test_low_thresholds_join_no_postings(index, monkeypatch):
+    monkeypatch.setattr(simjoin, "document_vectors", lambda *_: pytest.fail("postings are joined"))
+    q = simjoin.query_vectors(index, index.counts.filter("key = 'D-3'").select(F.col("key").alias("query_id"), "term", "tf"))
+    assert simjoin.best_pairs(index, q, 3, 0.1).count() > 0
