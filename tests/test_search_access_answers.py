@@ -289,3 +289,12 @@ def test_similar_reads_its_own_terms(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"A-{i}", f"disk w{i % 5} v{i}") for i in range(20)], "ord long, key string, text string")
     plan = textindex.similar(textindex.store(docs, str(tmp_path / "i")), "A-3")._jdf.queryExecution().executedPlan().toString()
     assert "In(term" in plan
+
+
+def test_first_ticket_is_found_once(spark, sf_dir, monkeypatch):
+    from sieveline import queries
+
+    seen, check = [], queries.access.check_access
+    monkeypatch.setattr(queries.access, "check_access", lambda issue, *a: seen.append(issue._jdf.queryExecution().optimizedPlan().toString()) or check(issue, *a))
+    queries.acl_permissions(spark, sf_dir)
+    assert seen and not any("lineitem" in p or "Join" in p for p in seen)
