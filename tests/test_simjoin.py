@@ -96,3 +96,11 @@ def test_low_thresholds_join_no_postings(index, monkeypatch):
     monkeypatch.setattr(simjoin, "document_vectors", lambda *_: pytest.fail("postings are joined"))
     q = simjoin.query_vectors(index, index.counts.filter("key = 'D-3'").select(F.col("key").alias("query_id"), "term", "tf"))
     assert simjoin.best_pairs(index, q, 3, 0.1).count() > 0
+
+
+def test_batches_write_no_postings(spark, sf_dir, monkeypatch):
+    from sieveline import queries
+
+    monkeypatch.setattr(queries, "_STORED", {})
+    monkeypatch.setattr(textindex, "sorted_blocks", lambda *_: pytest.fail("postings are written"))
+    assert queries.txt_search_batch(spark, sf_dir).columns == ["query_id", "key", "score", "rank"]
