@@ -18,6 +18,7 @@ from sieveline.functions import storage
 from sieveline.functions.columns import project_of
 from sieveline.operators import filterlang
 from sieveline.operators.filterlang import And, Compare, In, IsNull, Or
+from sieveline.sources.issues import normalise
 
 #: Bytes of a row group, the least that a scan leaves out.
 GROUP_BYTES = 16 << 20
@@ -27,20 +28,39 @@ _TEXTS = ("project", "status", "priority", "type", "key", "assignee")
 _DATES = ("created", "updated")
 
 
-def _text(field: str) -> Column:
-    return {"project": project_of(F.col("key")), "assignee": F.col("assignee.displayName")}.get(field, F.col(field))
+def _folded(field: str, fields: dict[str, Column]) -> Column:
+    at = lambda f: fields.get(f, F.col(f))
+    text = {"project": lambda: project_of(at("key")), "assignee": lambda: at("assignee").getField("displayName")}.get(field, lambda: at(field))()
+    return F.lower(F.coalesce(text, F.lit("None")))
 
 
-def write(issues: DataFrame, path: str, files: int | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def _micros(field: str, fields: dict[str, Column]) -> Column:
+    return F.unix_micros(F.try_to_timestamp(fields.get(field, F.col(field))))
+
+
+def write(issues: DataFrame, path: str, files: int | None = None, group_bytes: int = GROUP_BYTES, fields: dict[str, Column] | None = None) -> DataFrame:
     """Writes the normalised view; rows of a month stand together, in it those of a project, by time. Rows without a readable date come first.
 
     files: how many; otherwise adaptive execution cuts them to its size. A month or project with a third of all rows is cut into many files by time and position.
+    fields: what makes a ticket's fields of issues, if those are narrower rows. Rows are dealt out as they come, so all else that is stored is made behind that.
     """
-    extra = {f"_{f}": F.lower(F.coalesce(_text(f), F.lit("None"))) for f in _TEXTS} | {f"_{f}": F.unix_micros(F.try_to_timestamp(F.col(f))) for f in _DATES}
-    order = [F.date_trunc("month", F.timestamp_micros("_created")), F.col("_project"), F.col("_created"), F.col("ord")]
-    rows = issues.withColumns(extra)
-    rows = rows.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order)
-    return storage.written(rows, path, **{"parquet.block.size": str(group_bytes)})
+    made = fields or {}
+    created = _micros("created", made)
+    keys = {"_month": F.date_trunc("month", F.timestamp_micros(created)), "_project": _folded("project", made), "_created": created}
+    ord_ = made.get("ord", F.col("ord"))
+    dealt = issues.repartitionByRange(*([files] if files else []), *keys.values(), ord_)
+    rows = dealt.withColumns(keys).sortWithinPartitions(*keys, ord_)
+    extra = {f"_{f}": F.col(f"_{f}") if f"_{f}" in keys else _folded(f, {}) for f in _TEXTS} | {f"_{f}": F.col(f"_{f}") if f"_{f}" in keys else _micros(f, {}) for f in _DATES}
+    if fields:
+        rows = normalise(rows.select(*[c.alias(n) for n, c in made.items()], *keys), "_project", "_created")
+    return storage.written(rows.drop("_month").withColumns(extra), path, **{"parquet.block.size": str(group_bytes)})
+
+
+def with_lists(stored: DataFrame, lists: DataFrame) -> DataFrame:
+    """A store written without labels and components, with those of lists (ord, labels, components); a ticket without a row there has none."""
+    names = ("labels", "components")
+    both = stored.drop(*names).join(lists, "ord", "left")
+    return both.select([F.coalesce(c, F.array().cast("array<string>")).alias(c) if c in names else F.col(c) for c in stored.columns])
 
 
 def restriction(node: object, now: datetime | None = None) -> Column | None:

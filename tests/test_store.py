@@ -73,3 +73,21 @@ def test_odd_rows(spark, tmp_path):
 def test_restriction_says_nothing_of_what_it_cannot_know():
     for text in ("", "summary ~ x", "labels = a", "status != Done", "status NOT IN (Done)", "created >= someday", "status = Done OR labels = a", "nosuchfield = 1"):
         assert store.restriction(filterlang.parse(text).where) is None, text
+
+
+def test_tickets_travel_as_narrow_as_their_tables(spark, sf_dir, monkeypatch):
+    """What a ticket's fields are made of is dealt out, not its texts, comments and folded values; labels and components stand in a table of their own."""
+    from sieveline import queries_store
+    from sieveline.functions import storage
+
+    made, written = [], storage.written
+    monkeypatch.setattr(storage, "written", lambda df, *a, **k: made.append(df) or written(df, *a, **k))
+    monkeypatch.setattr(queries_store, "_WRITTEN", {})
+    whole = queries_store.stored(spark, sf_dir)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in made]
+    dealt = [p.split("RepartitionByExpression")[1].split("\n", 1)[1] for p in plans if "date_trunc" in p]
+    assert len(dealt) == 1 and not any(x in dealt[0] for x in ("Please hurry", "Order for", "_status", "labels")), dealt
+    issues = tables.order_issues(spark, sf_dir)
+    rows = lambda df: sorted(map(repr, df.select(issues.columns).collect()))
+    assert rows(whole) == rows(issues)
+    assert whole.filter("size(labels) = 0").count() > 0 < whole.filter("size(components) > 0").count()
