@@ -200,6 +200,18 @@ def test_claims(spark, world, text, where, valid, warnings, part):
     assert part is None or any(part in m for m in v["messages"])
 
 
+def test_claims_are_read_behind_the_join_with_counts(spark):
+    """Whole texts are exchanged; repeated answers, leading zeros, claims that hit twice, null texts and answers without rows."""
+    text = "Found 02 tickets. There are 0 issues."
+    answers = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "nothing"), (4, "total of 007")], "answer_id long, text string")
+    retrieved = spark.createDataFrame([(1, "A-1"), (1, "A-2"), (3, "A-1")], "answer_id long, key string")
+    found = grounding.wrong_counts(answers, retrieved)
+    got = sorted((r["answer_id"], r["claimed"], r["actual"]) for r in found.collect())
+    assert got == [(1, "0", "2")] * 4 + [(4, "7", "0")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan.split("Join LeftOuter")[1], plan
+
+
 def test_grounded_texts_hold(spark, world):
     from pyspark.sql import functions as F
 
