@@ -1,8 +1,10 @@
 """Saved filters in one plan against each filter alone."""
 
 from datetime import UTC, datetime
+from itertools import pairwise
 
 import pytest
+from pyspark.sql import functions as F
 
 from sieveline.operators import filterlang, filtertable
 from sieveline.sources.issues import load_corpus
@@ -78,3 +80,20 @@ def test_texts_share_what_their_common_clauses_match(spark, issues):
     n = issues.count()
     assert found.base_pairs.count() + found.own_pairs.count() <= n < 100 * n == found.rows().count()
     assert {r["n"] for r in found.totals().collect()} == {n}
+
+
+def test_rows_of_a_shared_set_come_in_runs(spark, issues):
+    """A filter's rows stand together, part by part, so columns written to files repeat: rows that change their filter at each ticket take two bytes each and more."""
+    many = issues.crossJoin(spark.range(300).withColumnRenamed("id", "n")).withColumn("key", F.concat("key", F.lit("-"), "n")).drop("n")
+    saved = spark.createDataFrame([(i, f"status != Nowhere OR key = 'OPS-1-{i}'") for i in range(50)], "filter_id int, text string")
+    found = filtertable.match(many, saved, NOW)
+    at = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(at)
+    spark.conf.set(at, "-1")  # neither side is small where it matters
+    try:
+        rows = found.rows().select("filter_id", "key", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set(at, before)
+    changes = sum(a["p"] != b["p"] or a["filter_id"] != b["filter_id"] for a, b in pairwise(rows))
+    assert len({(r["filter_id"], r["key"]) for r in rows}) == len(rows) == 50 * many.count()
+    assert changes < len(rows) / 40
