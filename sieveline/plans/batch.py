@@ -9,10 +9,12 @@ positions among all hits of its text. The result is a join of the questions with
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.functions.storage import delete, shared_path, written
+from sieveline.functions.storage import delete, expect_long_values, shared_path, written
 from sieveline.operators import access, filtertable, grounding, textindex
 from sieveline.plans.assistant import COUNT_WORDS, SEMANTIC_TOP_K
 from sieveline.plans.router import CLARIFY_TEXT, DEFAULT_DOMAINS, Mode, route
@@ -72,9 +74,34 @@ def _placed(rows: DataFrame) -> DataFrame:
     return both.withColumn("pos", F.coalesce((F.col("_place") - 1).cast("long"), FIRST + F.col("o") - F.col("least_o"))).drop("_place", "o", "least_o")
 
 
+@dataclass
+class Said:
+    questions: DataFrame  # question_id, answer_id: the case, fixed: an answer that no case has, and the result's other columns but those of texts
+    texts: DataFrame  # answer_id, text, validation_errors
+
+    def rows(self) -> DataFrame:
+        """What `ask_all` returns. A text meets its questions here and stands nowhere once a question; those of one case are dealt to COPIES tasks. The number
+        of partitions is held, as the size of what they read says nothing of the texts that they repeat, and a case's rows follow each other."""
+        n = int(self.questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        asked = self.questions.withColumn("_copy", F.pmod(F.xxhash64("question_id"), F.lit(COPIES))).repartition(n, "answer_id", "_copy")
+        every = F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)).cast("array<bigint>")).alias("_copy")
+        out = asked.join(self.texts.select("*", every).repartition(n, "answer_id", "_copy"), ["answer_id", "_copy"], "left")
+        wrong = F.coalesce("validation_errors", F.array().cast("array<string>"))
+        return out.select(
+            "question_id", "success", "query_mode", "jql_used", "semantic_query", "total_count", F.coalesce("fixed", "text").alias("answer"),
+            (F.size(wrong) == 0).alias("validation_passed"), wrong.alias("validation_errors"), "warnings", "errors",
+        )
+
+
 def ask_all(corpus: Corpus, index: textindex.TextIndex, profiles: DataFrame, questions: DataFrame, route_domains: Domains = DEFAULT_DOMAINS, strict: bool = False, tell_hidden: bool = True) -> DataFrame:
     """questions: question_id, query, user_id. One row each: question_id, success, query_mode, jql_used, semantic_query, total_count, answer,
     validation_passed, validation_errors, warnings, errors. A null query is an empty one."""
+    return say_all(corpus, index, profiles, questions, route_domains, strict, tell_hidden).rows()
+
+
+def say_all(corpus: Corpus, index: textindex.TextIndex, profiles: DataFrame, questions: DataFrame, route_domains: Domains = DEFAULT_DOMAINS, strict: bool = False, tell_hidden: bool = True) -> Said:
+    """`ask_all` with questions and texts apart, so that a text that many questions have is kept once. Sets `expect_long_values` for the session, as a list of
+    all rows of a case may be megabytes long and its askers follow each other."""
     spark, paths = questions.sparkSession, []
 
     def cut(df: DataFrame, label: str, read_by_result: bool = False) -> DataFrame:
@@ -83,6 +110,7 @@ def ask_all(corpus: Corpus, index: textindex.TextIndex, profiles: DataFrame, que
             paths.append(path)
         return written(df, path)
 
+    expect_long_values(spark)
     issues = corpus.issues
     query = F.coalesce("query", F.lit(""))
     counting = F.lower("query").rlike("|".join(COUNT_WORDS))
@@ -115,27 +143,23 @@ def ask_all(corpus: Corpus, index: textindex.TextIndex, profiles: DataFrame, que
     # a row a case; a list may be long, so few of them share a file and a batch of its reader
     checked = cut(checked.repartition("answer_id"), "checked", True)
 
-    # a text meets its questions when the result is read and stands nowhere once a question; those of one case are dealt to COPIES tasks
-    copy = F.pmod(F.xxhash64("question_id"), F.lit(COPIES)).alias("copy")
-    texts = checked.select("*", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)).cast("array<bigint>")).alias("copy"))
-    out = asked.select("*", copy).join(counts, ["plan", "profile_class"], "left").join(texts, ["answer_id", "copy"], "left").join(broken, "jql_query", "left")
+    out = asked.join(counts, ["plan", "profile_class"], "left").join(broken, "jql_query", "left")
     clarify, unread = F.col("plan").isNull(), F.col("error").isNotNull()
     hidden = F.coalesce(F.col("before") - F.col("after"), F.lit(0))
     none = F.array().cast("array<string>")
     problem = F.concat(F.lit("JQL execution failed: "), "error")
     result = out.select(
         "question_id",
+        "answer_id",
         (~unread).alias("success"),
         F.when(clarify, "clarification").otherwise(F.col("mode")).alias("query_mode"),
         F.when(~unread, F.col("jql_query")).alias("jql_used"),
         F.when(~unread, F.col("semantic_query")).alias("semantic_query"),
         F.coalesce("after", F.lit(0)).alias("total_count"),
-        F.when(clarify, CLARIFY_TEXT).when(unread, F.concat(F.lit("An error occurred while searching: "), problem)).otherwise(F.col("text")).alias("answer"),
-        (F.coalesce(F.size("validation_errors"), F.lit(0)) == 0).alias("validation_passed"),
-        F.coalesce("validation_errors", none).alias("validation_errors"),
+        F.when(clarify, CLARIFY_TEXT).when(unread, F.concat(F.lit("An error occurred while searching: "), problem)).alias("fixed"),
         F.when((hidden > 0) & F.lit(tell_hidden), F.array(F.format_string("%d issue(s) hidden due to permissions", hidden))).otherwise(none).alias("warnings"),
         F.when(unread, F.array(problem)).otherwise(none).alias("errors"),
     )
     for p in paths:
         delete(spark, p)
-    return result
+    return Said(result, checked)

@@ -32,12 +32,19 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return tables.read(spark, d, "customer").select(n.alias("question_id"), text.alias("query"), _one_of(USERS, F.floor(n / 13) % len(USERS)).alias("user_id"))
 
 
-def ask_customers(spark: SparkSession, d: str) -> DataFrame:
+def said(spark: SparkSession, d: str) -> batch.Said:
     """Documents as tickets; some summaries name a wrong status, so that answers which show them fall back to a list."""
     issues = tables.document_issues(spark, d).withColumn("summary", F.when(F.col("ord") % 13 == 0, F.concat("summary", F.lit(" Blocked"))).otherwise(F.col("summary")))
     corpus = Corpus(issues, tables.DOMAINS)
-    said = batch.ask_all(corpus, queries.stored_index(spark, d), tables.profile_rows(spark, PROFILES), questions(spark, d), DOMAINS)
-    return said.select("question_id", "success", "query_mode", "jql_used", "semantic_query", "total_count", "answer", "validation_passed", F.array_join("warnings", "; ").alias("warnings"))
+    return batch.say_all(corpus, queries.stored_index(spark, d), tables.profile_rows(spark, PROFILES), questions(spark, d), DOMAINS)
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select("question_id", "success", "query_mode", "jql_used", "semantic_query", "total_count", "answer", "validation_passed", F.array_join("warnings", "; ").alias("warnings"))
+
+
+def ask_customers(spark: SparkSession, d: str) -> DataFrame:
+    return shown(said(spark, d).rows())
 
 
 def _cases(values: tuple[str, ...], number: str) -> str:

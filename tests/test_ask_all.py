@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline.functions import storage
 from sieveline.operators import textindex
 from sieveline.plans import assistant, batch, router
 from sieveline.sources.issues import Corpus, load_corpus, load_profiles
@@ -61,3 +62,16 @@ def test_a_text_stands_once_a_case(spark, world):
     texts = {f.rsplit("/", 1)[0] for f in got.inputFiles() if "questions-checked" in f}
     assert len(texts) == 1 and spark.read.parquet(*texts).count() == 1
     assert got.count() == 40 and got.select("answer").distinct().count() == 1
+
+
+def test_askers_of_a_long_text_do_not_repeat_it_in_files(spark, tmp_path):
+    """Three megabytes asked for by 400 are written once a file, and no task holds a hundred of them at once."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: F.concat(F.sha2(i.cast("string"), 256))), "\n").substr(1, 3_000_000)
+    storage.expect_long_values(spark)
+    texts = storage.written(spark.range(1).select(F.lit("a").alias("answer_id"), text.alias("text"), F.array().cast("array<string>").alias("validation_errors")), str(tmp_path / "texts"))
+    none = F.array().cast("array<string>")
+    columns = {"answer_id": F.lit("a"), "success": F.lit(True), "query_mode": F.lit("jql"), "jql_used": F.lit(""), "semantic_query": F.lit(""), "total_count": F.lit(1), "fixed": F.lit(None).cast("string"), "warnings": none, "errors": none}
+    rows = batch.Said(spark.range(400).withColumnRenamed("id", "question_id").withColumns(columns), texts).rows()
+    rows.write.parquet(str(tmp_path / "rows"))
+    assert rows.select("answer").distinct().count() == 1 and rows.filter(F.length("answer") == 3_000_000).count() == 400
+    assert sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet")) < 60_000_000  # 1.2 GB of texts, which compress little
